@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import bucket_count, written
 from tidemark.llm.token_text import batches, encoder
 
-BLOB_IDS = 1 << 21
+BLOB_IDS = 1 << 20
 
 
 def compress(seq: np.ndarray, stops: np.ndarray, first_symbol: int, min_count: int = 32, rounds: int = 4, rules_a_round: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,19 +39,15 @@ def compress(seq: np.ndarray, stops: np.ndarray, first_symbol: int, min_count: i
     last[stops[1:] - 1] = True
     rules: list[np.ndarray] = []
     symbol = first_symbol
-    mask = (1 << 20) - 1
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        a, b = seq[:-1].astype(np.int64), seq[1:].astype(np.int64)
-        key = a << 32 | b
         # a pair cannot be more frequent than its hash is: most pairs need no sorting
-        h = ((a * 0x9E3779B1 + b * 0x85EBCA77) >> 7) & mask
-        h[last[:-1]] = mask + 1
-        counts = np.bincount(h, minlength=mask + 2)
-        counts[mask + 1] = 0
-        maybe = np.flatnonzero(counts[h] >= min_count)
-        pairs, where, n = np.unique(key[maybe], return_inverse=True, return_counts=True)
+        h = (seq[:-1].astype(np.uint32) * np.uint32(0x9E3779B1) + seq[1:].astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(14)
+        counts = np.bincount(h, minlength=1 << 18)
+        maybe = np.flatnonzero((counts >= min_count)[h] & ~last[:-1])
+        key = seq[maybe].astype(np.int64) << 32 | seq[maybe + 1]
+        pairs, where, n = np.unique(key, return_inverse=True, return_counts=True)
         best = np.argsort(-n, kind="stable")[:rules_a_round]
         best = best[n[best] >= min_count]
         if not len(best):
@@ -120,6 +116,7 @@ def write_files(docs: DataFrame, path: str, end_id: int = 2, key: str = "doc_id"
         count, number = 0, 0
 
         def blob() -> pa.RecordBatch:
+            pa.default_memory_pool().release_unused()
             seq, stops = np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
             rules, packed, places = compress(seq, stops, first_symbol)
             lengths = expansion_lengths(rules, first_symbol)
@@ -129,7 +126,7 @@ def write_files(docs: DataFrame, path: str, end_id: int = 2, key: str = "doc_id"
                 ["part", "number", "n_docs", "n_ids", "first_symbol", "keys", "places", "rules", "lengths", "sequence"],
             )
 
-        for b in batches(parts, "text"):
+        for b in batches(parts, "text", 8 << 20):
             ids, stops = one.encode(b.column("text"))
             size = np.diff(stops) + 1
             full = np.empty(len(ids) + len(size), np.int32)

@@ -23,14 +23,14 @@ BATCH_BYTES = 16 << 20
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
-def batches(columns: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about BATCH_BYTES of text."""
+def batches(columns: Iterator[pa.RecordBatch], text: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many bytes of text."""
     for b in columns:
         size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         total = np.cumsum(size)
         at = 0
         while at < len(size):
-            to = int(np.searchsorted(total, (total[at - 1] if at else 0) + BATCH_BYTES, "right"))
+            to = int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right"))
             to = max(at + 1, to)
             yield b.slice(at, to - at)
             at = to
