@@ -1,10 +1,55 @@
-"""The stages of a corpus pipeline; see run()."""
+"""A corpus pipeline: four stages over documents, each one operator of tidemark.llm.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
+before it kept; all but the last return the columns of documents.  run() writes
+each stage's result to the shared folder and reads it again for the next.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import best_fit, minhash_oph, quality_nbsvm, toxic_zstd
+from tidemark.llm.queries import WORD_BPE, table
+from tidemark.llm.shared import written
+
+#: Near-duplicates: words of a shingle, percent of likeness, and bands and rows that find such a pair but for one in 10 million.
+SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 40, 5
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier does not call toxic."""
+    model = toxic_zstd.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    return toxic_zstd.score(docs, model).where("predicted = 0").select(docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model accepts."""
+    model = quality_nbsvm.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    return quality_nbsvm.score(docs, model).where("predicted = 1").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that of the smallest doc_id; rows of one doc_id count once. Null ids stay."""
+    dropped = minhash_oph.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT, bands=BANDS, rows=ROWS).where("not kept").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All ids of all documents in sequences of at most 2048."""
+    return best_fit.pack(docs, WORD_BPE)
+
+
+STAGES = [("toxicity", toxicity), ("quality", quality), ("near_dedup", near_dedup), ("packing", packing)]
+
+#: Fitted models and hashed sketches have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
