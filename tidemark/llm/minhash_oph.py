@@ -111,7 +111,7 @@ class Sketcher:
 def _sketches(table: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = Sketcher(bands, rows)
-        for b in batches(parts, "text"):
+        for b in batches(parts, "text", 4 << 20):
             n, hi, lo, keys, small = [], [], [], [], []
             with np.errstate(over="ignore"):
                 for u in shingle_sets(b.column("text"), k):

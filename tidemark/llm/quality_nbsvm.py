@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import labelled
+from tidemark.llm.token_text import batches
 
 BITS = 18
 
@@ -115,7 +116,7 @@ def scored(docs: DataFrame, make, text: str) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
-        for b in parts:
+        for b in batches(parts, text, 4 << 20):
             values = pa.array([one(t or b"") for t in b.column(text).cast(pa.large_binary()).to_pylist()], pa.float64())
             hit = pa.array((values.to_numpy() >= 0.5).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*b.columns, values, hit], [*b.schema.names, "score", "predicted"])

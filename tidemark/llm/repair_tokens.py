@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import bucket_count, written
-from tidemark.llm.token_text import batches, encoder
+from tidemark.llm.token_text import batches, encoder, give_back
 
 BLOB_IDS = 1 << 20
 
@@ -116,7 +116,7 @@ def write_files(docs: DataFrame, path: str, end_id: int = 2, key: str = "doc_id"
         count, number = 0, 0
 
         def blob() -> pa.RecordBatch:
-            pa.default_memory_pool().release_unused()
+            give_back()
             seq, stops = np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
             rules, packed, places = compress(seq, stops, first_symbol)
             lengths = expansion_lengths(rules, first_symbol)
@@ -126,7 +126,7 @@ def write_files(docs: DataFrame, path: str, end_id: int = 2, key: str = "doc_id"
                 ["part", "number", "n_docs", "n_ids", "first_symbol", "keys", "places", "rules", "lengths", "sequence"],
             )
 
-        for b in batches(parts, "text", 8 << 20):
+        for b in batches(parts, "text"):
             ids, stops = one.encode(b.column("text"))
             size = np.diff(stops) + 1
             full = np.empty(len(ids) + len(size), np.int32)

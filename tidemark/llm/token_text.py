@@ -9,6 +9,8 @@ the partition; a text longer than that is a batch of its own.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,11 +20,18 @@ import pyarrow.compute as pc
 
 from tidemark.llm.bpe_automaton import Automaton, automaton
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Letters that Unicode normalization leaves alone and that have one lower-case letter each.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, so that workers which live on do not hold their largest batch."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def batches(columns: Iterator[pa.RecordBatch], text: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about so many bytes of text."""
     for b in columns:
@@ -34,6 +43,7 @@ def batches(columns: Iterator[pa.RecordBatch], text: str, most: int = BATCH_BYTE
             to = max(at + 1, to)
             yield b.slice(at, to - at)
             at = to
+            give_back()
 
 
 class LibraryWords:
