@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import written
 
 SAMPLE, LEAF, CELL_ROWS, BLOCK_ROWS, QUERIES, MOST_CELLS = 16384, 32, 1024, 2048, 1024, 2048
+#: Projections of equal vectors may differ by rounding; relative to the squared length.
+SLACK = 1e-9
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -167,10 +169,12 @@ def search(table: DataFrame, is_query: F.Column, k: int = 10, m: int = 10, sure:
                 tree = Leaves(p)
                 for query, q, bound in zip(queries["query_id"], queries["q"], queries["bound"], strict=True):
                     q = np.asarray(q, np.float64)
-                    by, far = tree.order(q @ directions)
+                    at = q @ directions
+                    by, far = tree.order(at)
+                    slack = SLACK * (1 + at @ at)
                     best, names, limit = np.empty(0), np.empty(0, np.int64), bound * bound
                     for leaf, gap in zip(by, far, strict=True):
-                        if gap > limit * stop:
+                        if gap > limit * stop + slack:
                             break
                         r = tree.rows[leaf]
                         r = r[ids[r] != query]
@@ -200,7 +204,8 @@ def search(table: DataFrame, is_query: F.Column, k: int = 10, m: int = 10, sure:
             q = b.column("q").flatten().to_numpy(zero_copy_only=False).reshape(len(b), d)
             bound, own = b.column("bound").to_numpy(), b.column("cell").to_numpy()
             for i in range(len(b)):
-                near = known[cells.near(q[i] @ directions)[known] <= bound[i] * bound[i] * stop]
+                at = q[i] @ directions
+                near = known[cells.near(at)[known] <= bound[i] * bound[i] * stop + SLACK * (1 + at @ at)]
                 near = near[near != own[i]].astype(np.int32)
                 if len(near):
                     take = pa.array(np.full(len(near), i))
