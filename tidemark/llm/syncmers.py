@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(F.col(key), fingerprint(anchors(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("fingerprint"))
 
 
-def with_next(docs: DataFrame, range_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+def with_next(docs: DataFrame, range_bytes: int = 4 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text, found (anchors), next_text, next_found of every row.
 
     The next document is by ascending key (null keys first, ties by the text's
