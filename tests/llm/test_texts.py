@@ -6,10 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann_srs, labelled, minhash_oph, quality_nbsvm, shard_shuffle, syncmers, toxic_zstd, warc_revisit
+from tidemark.llm import ann_srs, labelled, minhash_oph, quality_nbsvm, shard_shuffle, syncmers, token_text, toxic_zstd, warc_revisit
 
 WORDS = [a + b for a in ("er", "th", "an", "on", "in", "ti", "ed", "st") for b in ("ha", "re", "ou", "ly", "nd", "", "sh", "ble")]
 
@@ -62,6 +63,16 @@ def test_near_duplicates(spark, k, percent, bands, rows):
     assert minhash_oph.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_sets_of_a_slice():
+    texts = pa.array([t or "" for _, t in corpus()[:120]])
+    with np.errstate(over="ignore"):
+        whole = [x.tolist() for x in minhash_oph.shingle_sets(texts, 3)]
+        assert [x.tolist() for x in minhash_oph.shingle_sets(texts.slice(40, 30), 3)] == whole[40:70]
+        for most in (1, 2000, 1 << 20):
+            cut = token_text.batches(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text", most)
+            assert [x.tolist() for b in cut for x in minhash_oph.shingle_sets(b.column("text"), 3)] == whole
+
+
 def test_near_duplicates_odd_keys(spark):
     df = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (3, "A b c d"), (4, None)], "doc_id long, text string")
     got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in minhash_oph.near_duplicates(df).collect())

@@ -16,8 +16,8 @@
    again from the texts, in blocks of one center and at most ``BLOCK`` partners.
 5. Links are joined into components by smallest label with pointer jumping.
 6. Where a bucket still holds several components, it gets new stars, from one
-   member of its first and of its last component to the members of all others,
-   until a round finds no link or ``rounds`` are done.
+   member of each of four random components to the members of all others, until
+   nothing is left to test or ``rounds`` are done.
 
 No step puts a bucket, class or component into one task: buckets are only
 aggregated and joined, and joins on hot keys are split by adaptive execution.
@@ -57,7 +57,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    texts = pc.ascii_lower(pc.fill_null(texts, "").take(pa.array(np.arange(len(texts)))).cast(pa.large_string()))
     words = pc.ascii_split_whitespace(texts)
     offsets = words.offsets.to_numpy()
     codes = words.flatten().dictionary_encode()
@@ -195,7 +195,7 @@ def _confirm(edges: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return partners.unionByName(centers).groupBy("a", "block").applyInPandas(check, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands: int = 32, rows: int = 6, centers: int = 3, rounds: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands: int = 32, rows: int = 6, centers: int = 3, rounds: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id (smallest key reachable by links), kept (it is the row's own key), for every row."""
     table = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
     sketches = written(_sketches(table, shingle, bands, rows), "sketches")
@@ -229,19 +229,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands:
         now = written(members.select("bucket", "rep").join(labels, members["rep"] == labels["node"], "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label")), "seats")
         mixed = now.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("bucket")
         seats = now.join(mixed, "bucket")
-        shuffled = F.xxhash64("label", F.lit(turn))
-        inside = F.xxhash64("rep", "bucket", F.lit(turn))
-        low = F.min(F.struct(shuffled, inside, F.col("rep"), F.col("label")))
-        new = stars(seats, [seat(by(shuffled, inside)), seat(low)], "label != la")
+        chosen = []
+        for i in range(2):  # two components by each of two random orders
+            order = [F.xxhash64("label", "bucket", F.lit(2 * turn + i)), F.xxhash64("rep", "bucket", F.lit(turn))]
+            chosen += [seat(by(*order)), seat(F.min(F.struct(*order, F.col("rep"), F.col("label"))))]
+        new = stars(seats, chosen, "label != la")
         pair = lambda df: df.select("*", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
         fresh = written(_likely(pair(new).join(pair(tested).select("x", "y"), ["x", "y"], "left_anti").select("a", "b"), classes, percent), "edges")
         if fresh.isEmpty():
             break
         found = written(_confirm(fresh, table, shingle, percent), "links")
-        if found.isEmpty():
-            break
-        tested, links = tested.union(fresh), links.union(found)
-        labels = components(links)
+        tested = tested.union(fresh)
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = components(links)
     of_class = reps.join(labels, reps["rep"] == labels["node"], "left").select("hi", "lo", F.coalesce("label", "rep").alias("component"))
     joined = real.select("key", "n", "hi", "lo").join(of_class, ["hi", "lo"]).select("key", "n", "component")
     alone = sketches.where("n = 0 or key is null").select("key", "n", F.col("key").alias("component"))
