@@ -93,4 +93,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_ann_srs, op2_shard_shuffle, op3_warc_revisit, op4_bpe_automaton, op5_quality_nbsvm, op6_best_fit, op7_minhash_oph, op8_repair_tokens, op9_toxic_zstd, op10_syncmers)
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Only op3 has SQL: the others hash, fit models, shuffle or use a tokenizer, and are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_revisit": r"""WITH p AS (SELECT page_id, url, '"' || md5(coalesce(html, '')) || '"' AS tag FROM pages),
+rec AS (SELECT 2 * page_id AS record_id, url, 'response' AS kind, tag AS etag, 'day ' || page_id AS date, 'text/html' AS content_type FROM p
+  UNION ALL SELECT 2 * page_id + 1, url || '#top', 'revisit', CASE WHEN page_id % 5 = 0 THEN 'W/"other"' ELSE 'W/' || tag END, 'day ' || page_id || ' again', 'none' FROM p),
+cut AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS u FROM rec),
+parts AS (SELECT *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, lower(regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1), '^.*@', '')) AS host,
+  regexp_replace(regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', ''), '[?]$', '') AS rest FROM cut),
+canon AS (SELECT *, CASE WHEN scheme = '' THEN u ELSE scheme || '://' || CASE scheme WHEN 'http' THEN regexp_replace(host, ':(80)?$', '') WHEN 'https' THEN regexp_replace(host, ':(443)?$', '') ELSE host END
+  || CASE WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END END AS canonical FROM parts),
+carried AS (SELECT *, last_value(CASE WHEN kind = 'response' THEN record_id END IGNORE NULLS) OVER (PARTITION BY canonical ORDER BY record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS source FROM canon),
+found AS (SELECT a.*, r.content_type AS r_type, CASE WHEN a.kind = 'response' THEN 'response' WHEN a.source IS NULL THEN 'unresolved' WHEN regexp_replace(a.etag, '^W/', '') = regexp_replace(r.etag, '^W/', '') THEN 'resolved' ELSE 'mismatch' END AS status
+  FROM carried a LEFT JOIN rec r ON r.record_id = a.source)
+SELECT record_id, kind, CASE WHEN status = 'resolved' THEN source END AS refers_to, status, date, CASE WHEN status = 'resolved' THEN r_type ELSE content_type END AS content_type FROM found""",
+}
