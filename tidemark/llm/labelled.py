@@ -30,6 +30,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, trainable: F.Column,
     return [r["t"] for r in rows], np.array([r["y"] for r in rows], np.int64), np.array([r["h"] for r in rows], np.int64)
 
 
+def shift(labels: DataFrame, label: str, trainable: F.Column, y: np.ndarray) -> float:
+    """What to add to a curve fitted on the sample, whose classes are nearer to equal than those of all training labels."""
+    n = {r["y"]: r["n"] for r in labels.where(trainable & F.col(label).isin(0, 1)).groupBy(F.col(label).alias("y")).agg(F.count("*").alias("n")).collect()}
+    if not n.get(0) or not n.get(1) or not 0 < y.sum() < len(y):
+        return 0.0
+    return float(np.log(n[1] / n[0]) - np.log(y.sum() / (len(y) - y.sum())))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     """Weights (the last one is the constant) by Newton's method."""
     z = np.c_[x, np.ones(len(x))]

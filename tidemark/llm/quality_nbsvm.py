@@ -1,7 +1,9 @@
 """Quality by naive Bayes support vectors.
 
 A text's features are indicators of its byte n-grams (1 to 3 bytes, hashed to
-``2 ** BITS`` places).  Each is scaled by its class log-count ratio, the vector
+``2 ** BITS`` places) and of three classes of its word sequence: how many words
+(by powers of two), which share of them is distinct, which share repeats the
+word before it (an n-gram that no fixed list of words holds).  Each is scaled by its class log-count ratio, the vector
 is scaled to length 1, and a linear model with hinge loss is fitted by dual
 coordinate descent.  A logistic curve, fitted on a third of the sample that the
 model has not seen, turns the margin into a score.
@@ -16,6 +18,7 @@ are scored alike; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +29,11 @@ from tidemark.llm import labelled
 from tidemark.llm.token_text import batches
 
 BITS = 18
+PLACES = (1 << BITS) + 48
 
 
 def features(text: bytes, scratch: np.ndarray) -> np.ndarray:
-    """Places of the n-grams of a text, ascending; scratch: 2 ** BITS False, left so."""
+    """Places of the n-grams of a text, ascending; scratch: PLACES times False, left so."""
     b = np.frombuffer(text, np.uint8).astype(np.uint32)
     for n in (1, 2, 3):
         if len(b) < n:
@@ -38,6 +42,12 @@ def features(text: bytes, scratch: np.ndarray) -> np.ndarray:
         for j in range(n):
             h = h * np.uint32(257) + b[j : len(b) - n + 1 + j]
         scratch[(h * np.uint32(2654435761)) >> np.uint32(32 - BITS)] = True
+    words = text.split()
+    if n := len(words):
+        again = sum(map(eq, words, words[1:]))
+        scratch[(1 << BITS) + min(15, n.bit_length())] = True
+        scratch[(1 << BITS) + 16 + 8 * len(set(words)) // n] = True
+        scratch[(1 << BITS) + 32 + (min(7, 1 + 16 * again // n) if again else 0)] = True
     found = np.flatnonzero(scratch)
     scratch[found] = False
     return found
@@ -45,21 +55,21 @@ def features(text: bytes, scratch: np.ndarray) -> np.ndarray:
 
 class Model:
     def __init__(self, texts: list[str], y: np.ndarray, h: np.ndarray, passes: int = 20, cost: float = 1.0) -> None:
-        self.weights = np.zeros(1 << BITS, np.float32)  # of an indicator before the text's scaling
-        self.ratio = np.zeros(1 << BITS, np.float32)
+        self.weights = np.zeros(PLACES, np.float32)  # of an indicator before the text's scaling
+        self.ratio = np.zeros(PLACES, np.float32)
         share = float(y.mean()) if len(y) else 0.5
         self.curve = np.array([0.0, np.log(max(share, 1e-3) / max(1 - share, 1e-3))])
         seen = h % 3 != 0
         if not len(y) or min(y[seen].sum(), (1 - y[seen]).sum(), y[~seen].sum(), (1 - y[~seen]).sum()) < 1:
             return
-        scratch = np.zeros(1 << BITS, bool)
+        scratch = np.zeros(PLACES, bool)
         rows = [features(t.encode(), scratch) for t in texts]
-        counts = np.ones((2, 1 << BITS))
+        counts = np.ones((2, PLACES))
         for k in np.flatnonzero(seen):
             counts[y[k], rows[k]] += 1
         ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
         self.ratio = ratio.astype(np.float32)
-        w, bias = np.zeros(1 << BITS), 0.0
+        w, bias = np.zeros(PLACES), 0.0
         train = np.flatnonzero(seen)
         norm = [np.sqrt((ratio[r] ** 2).sum()) or 1.0 for r in rows]
         x = {k: ratio[rows[k]] / norm[k] for k in train}
@@ -105,7 +115,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 def _scorer(model: Model):
-    scratch = np.zeros(1 << BITS, bool)
+    scratch = np.zeros(PLACES, bool)
     return lambda t: model.score(features(t, scratch))
 
 
@@ -125,4 +135,7 @@ def scored(docs: DataFrame, make, text: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, trainable: F.Column, label: str = "quality", key: str = "doc_id", text: str = "text") -> Model:
-    return Model(*labelled.sample(docs, labels, label, trainable, key, text))
+    texts, y, h = labelled.sample(docs, labels, label, trainable, key, text)
+    model = Model(texts, y, h)
+    model.curve[-1] += labelled.shift(labels, label, trainable, y)
+    return model

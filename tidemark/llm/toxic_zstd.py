@@ -112,7 +112,10 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, trainable: F.Column, label: str = "toxic", key: str = "doc_id", text: str = "text") -> Model:
-    return Model(*labelled.sample(docs, labels, label, trainable, key, text))
+    texts, y, h = labelled.sample(docs, labels, label, trainable, key, text)
+    model = Model(texts, y, h)
+    model.curve[-1] += labelled.shift(labels, label, trainable, y)
+    return model
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
