@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import labelled
 from tidemark.llm.quality_nbsvm import scored
 
-WINDOW = 32
-LEVEL = 1
+WINDOW = 24
+LEVEL = 3
 LEAST_GAIN = 3
 _CUT = re.compile(rb"\S.{%d,}?(?=\s)|\S.*" % (WINDOW - 2), re.S)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -59,7 +59,7 @@ def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 class Model:
     """ordinary, toxic: the dictionaries; the rest is the curve."""
 
-    def __init__(self, texts: list[str], y: np.ndarray, h: np.ndarray, size: int = 32768, least: int = 4, z: float = 3.0) -> None:
+    def __init__(self, texts: list[str], y: np.ndarray, h: np.ndarray, size: int = 32768, least: float = 0.02, z: float = 6.0) -> None:
         share = float(y.mean()) if len(y) else 0.5
         self.ordinary = self.toxic = b""
         self.curve = np.zeros(9)
@@ -81,7 +81,7 @@ class Model:
         for w, n in counts[1].items():
             rate, usual = n / len(bad), (counts[0][w] + 0.5) / (len(plain) + 1)
             value = (rate - usual) / np.sqrt(usual * (1 - usual) / len(bad) + 1e-12)
-            if n >= least and value >= z and rate > 3 * usual:
+            if n >= max(4, least * len(bad)) and value >= z and rate > 3 * usual:
                 strong[w] = value
         ranked = sorted(strong, key=lambda w: (strong[w], w))
         self.toxic = self.ordinary + b"".join(f" {w} ".encode() for w in ranked)[-size // 4 :]
