@@ -104,7 +104,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, open_bin
             )
 
         key_type = pa.int64()
-        for b in batches(parts, "text"):
+        for b in batches(parts, "text", (4 if with_ids else 8) << 20):
             key_type = b.schema.field("key").type
             ids, stops = one.encode(b.column("text"))
             raw = memoryview(ids.astype("<u4").tobytes())

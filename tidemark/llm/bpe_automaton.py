@@ -84,7 +84,7 @@ class PairTable:
 class Automaton:
     """The compiled automaton of one vocabulary file (BPE with a word end)."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, splits_only: bool = False) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -96,6 +96,9 @@ class Automaton:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         vocab: dict[str, int] = model["vocab"]
+        self.size = max([*vocab.values(), *self.special.values()]) + 1
+        if splits_only:
+            return
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self._labels(vocab)
         self._compile(vocab, merges)
@@ -297,6 +300,6 @@ def nfc(text: str) -> str:
 
 
 @lru_cache(maxsize=2)
-def automaton(path: str) -> Automaton:
-    """Compiled once in each Python worker."""
-    return Automaton(path)
+def automaton(path: str, splits_only: bool = False) -> Automaton:
+    """Compiled once in each Python worker; for splitting alone nothing is compiled."""
+    return Automaton(path, splits_only)

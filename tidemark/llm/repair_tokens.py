@@ -109,7 +109,7 @@ def write_files(docs: DataFrame, path: str, end_id: int = 2, key: str = "doc_id"
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, one = TaskContext.get().partitionId(), encoder(path, True)
-        first_symbol = len(one.split.label)
+        first_symbol = one.split.size
         keys: list = []
         held: list[np.ndarray] = []
         sizes: list[np.ndarray] = []

@@ -85,7 +85,7 @@ def _gather(pool: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray
 
 class TextEncoder:
     def __init__(self, path: str, library: bool) -> None:
-        self.split: Automaton = automaton(path)
+        self.split: Automaton = automaton(path, library)
         self.words = LibraryWords(path) if library else self.split
         self.marked = self.split.words.pattern  # the vocabulary's own splitting pattern
         import regex
