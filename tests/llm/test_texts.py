@@ -63,6 +63,24 @@ def test_near_duplicates(spark, k, percent, bands, rows):
     assert minhash_oph.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_in_a_hot_bucket(spark):
+    """Hundreds of versions of one template, too far from each other for links, and pairs of near copies among them."""
+    r = random.Random(14)  # with this seed each pair shares a bucket
+    head, texts = prose(r, 20), []
+    for i in range(700):
+        words = [f"{w}{i}" for w in prose(r, 12).split()]
+        texts.append(" ".join([head, *words]))
+        if i % 20 == 0:
+            texts.append(" ".join([head, *words[:-1], "end"]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: x["component_id"] for x in minhash_oph.near_duplicates(df, bands=2, rows=1).collect()}
+    sets = [sets_of(t, 3) for t in texts]
+    for i in range(len(texts)):
+        copy = i > 0 and texts[i].endswith(" end")
+        assert not copy or 100 * len(sets[i] & sets[i - 1]) >= 85 * len(sets[i] | sets[i - 1])
+        assert got[i] == (i - 1 if copy else i)
+
+
 def test_sets_of_a_slice():
     texts = pa.array([t or "" for _, t in corpus()[:120]])
     with np.errstate(over="ignore"):

@@ -16,11 +16,19 @@
    again from the texts, in blocks of one center and at most ``BLOCK`` partners.
 5. Links are joined into components by smallest label with pointer jumping.
 6. Where a bucket still holds several components, it gets new stars, from one
-   member of each of four random components to the members of all others, until
-   nothing is left to test or ``rounds`` are done.
+   member of each of four random components to the members of all others, for
+   at most ``rounds`` rounds.
+7. Buckets that are still mixed are finished exactly: in each, every pair of
+   members of different components that was not tested is compared by sketches,
+   in cells of two blocks of at most about ``BLOCK`` members, and what the
+   sketches leave is confirmed on full sets.  So each pair that shares a bucket
+   is tested, or its ends are in one component already.
 
 No step puts a bucket, class or component into one task: buckets are only
-aggregated and joined, and joins on hot keys are split by adaptive execution.
+aggregated, joined and cut into cells, and joins on hot keys are split by
+adaptive execution.  Step 7 leaves out pairs within a bucket's largest
+component, but among the members outside it the comparisons of sketches grow
+with the square of their number: there is no cap.
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased.
 Shingles are compared by 64-bit hashes.  A text with fewer words than a shingle
@@ -144,6 +152,10 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.select("node", "label")
 
 
+def _margin(n: np.ndarray, j: float) -> np.ndarray:
+    return 6 * np.sqrt(max(j * (1 - j), 0.01) / np.minimum(n, 192))
+
+
 def _likely(edges: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Edges that neither set sizes nor sketches rule out."""
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
@@ -158,20 +170,24 @@ def _likely(edges: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             flat = lambda c: np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(len(x), -1)  # noqa: B023, E731
             same = (flat("s_a") == flat("s_b")).mean(axis=1)
             n = np.minimum(x.column("n_a").to_numpy(), x.column("n_b").to_numpy())
-            margin = 6 * np.sqrt(max(j * (1 - j), 0.01) / np.minimum(n, 192))
-            yield x.filter(pa.array(same >= j - margin)).select(["a", "b"])
+            yield x.filter(pa.array(same >= j - _margin(n, j))).select(["a", "b"])
 
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def _confirm(edges: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The edges (a: the center) whose full sets are similar enough."""
+def _texts(edges: DataFrame, docs: DataFrame) -> DataFrame:
+    """key, text of the ends of edges, and of few other documents."""
     # a bitmap of the keys needed, of fixed size whatever their number, spares the shuffle most other texts
     bits = 1 << 23
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     ends = edges.select(F.explode(F.array("a", "b")).alias("key"))
     bitmap = ends.select(bit("key").alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set"))
-    texts = docs.withColumn("word", F.shiftright(bit("key"), 6)).join(F.broadcast(bitmap), "word").where(F.expr(f"getbit(`set`, cast(pmod(xxhash64(key), {bits}) & 63 as int)) = 1")).select("key", "text")
+    return docs.withColumn("word", F.shiftright(bit("key"), 6)).join(F.broadcast(bitmap), "word").where(F.expr(f"getbit(`set`, cast(pmod(xxhash64(key), {bits}) & 63 as int)) = 1")).select("key", "text")
+
+
+def _confirm(edges: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The edges (a: the center) whose full sets are similar enough."""
+    texts = _texts(edges, docs)
     teams = edges.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = written(edges.join(teams, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b"), "dealt")
     partners = dealt.join(texts, dealt["b"] == texts["key"]).select("a", "block", "b", "text")
@@ -195,6 +211,73 @@ def _confirm(edges: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return partners.unionByName(centers).groupBy("a", "block").applyInPandas(check, "a bigint, b bigint")
 
 
+def _rest(seats: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, la, b, lb, cell: the likely pairs of different labels (la, lb) in all buckets of seats (bucket, rep, label), once each, with one cell that holds both ends."""
+    counts = seats.groupBy("bucket", "label").agg(F.count("*").alias("m"))
+    of_bucket = counts.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("size"), F.count("*").alias("labels")).where("labels > 1")
+    # the members outside the largest component are blocks 0 to few - 1 and meet all blocks; its own meet only those
+    few, all_ = F.ceil((F.col("size") - F.col("top.m")) / BLOCK), F.ceil((F.col("size") - F.col("top.m")) / BLOCK) + F.ceil(F.col("top.m") / BLOCK)
+    dealt = seats.join(of_bucket, "bucket").withColumn("few", few).withColumn("all", all_).withColumn("inner", F.col("label") == F.col("top.label"))
+    place = F.when(F.col("inner"), F.col("few") + F.pmod(F.xxhash64("rep"), F.col("all") - F.col("few"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("few")))
+    dealt = dealt.withColumn("place", place).join(classes.select("rep", "n", "sketch"), "rep")
+    meets = F.sequence(F.lit(0).cast("bigint"), F.when(F.col("inner"), F.col("few")).otherwise(F.col("all")) - 1)
+    seated = dealt.select("bucket", "rep", "label", "n", "sketch", "place", F.explode(meets).alias("other"))
+    seated = seated.select("bucket", F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j"), "place", "rep", "label", "n", "sketch")
+
+    def pairs(key: tuple, x: pa.Table) -> pa.Table:
+        least = percent / 100
+        x = x.combine_chunks()
+        place, rep, label, n = (x.column(c).to_numpy() for c in ("place", "rep", "label", "n"))
+        sketch = np.frombuffer(b"".join(x.column("sketch").to_pylist()), np.uint8).reshape(len(x), -1)
+        one, other = np.flatnonzero(place == key[1].as_py()), np.flatnonzero(place == key[2].as_py())
+        a, b = [], []
+        for k, p in enumerate(one):
+            q = other[k + 1 :] if key[1] == key[2] else other
+            q = q[(label[q] != label[p]) & (100 * np.minimum(n[q], n[p]) >= percent * np.maximum(n[q], n[p]))]
+            q = q[(sketch[q] == sketch[p]).mean(axis=1) >= least - _margin(np.minimum(n[q], n[p]), least)]
+            a.append(np.full(len(q), p)), b.append(q)
+        a, b = (np.concatenate([*c, []]).astype(np.int64) for c in (a, b))
+        swap = rep[a] > rep[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        return pa.table({"a": rep[a], "la": label[a], "b": rep[b], "lb": label[b], **{c: pa.array([v.as_py()] * len(a), pa.int64()) for c, v in zip(("bucket", "i", "j"), key, strict=True)}})
+
+    found = seated.groupBy("bucket", "i", "j").applyInArrow(pairs, "a bigint, la bigint, b bigint, lb bigint, bucket bigint, i bigint, j bigint")
+    return found.groupBy("a", "la", "b", "lb").agg(F.min(F.struct("bucket", "i", "j")).alias("cell"))
+
+
+def _confirm_cells(rest: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links a, b that join the same components as all pairs of rest whose full sets are similar enough."""
+    by = ["bucket", "i", "j"]
+    at = rest.select("a", "la", "b", "lb", F.col("cell.bucket").alias("bucket"), F.col("cell.i").alias("i"), F.col("cell.j").alias("j"))
+    ends = at.select(*[F.col(c).alias(f"of_{c}") for c in by], F.explode(F.array("a", "b")).alias("key")).distinct()
+    texts = ends.join(_texts(rest, docs), "key").select("of_bucket", "of_i", "of_j", "key", "text")
+
+    def check(pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        texts = texts.drop_duplicates("key")
+        with np.errstate(over="ignore"):
+            sets = dict(zip(texts["key"].tolist(), shingle_sets(pa.array(texts["text"], pa.large_string(), from_pandas=True), k), strict=True))
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up.get(x, x) != x:
+                up[x] = x = up.get(up[x], up[x])
+            return x
+
+        found = []
+        for a, la, b, lb in zip(pairs["a"].tolist(), pairs["la"].tolist(), pairs["b"].tolist(), pairs["lb"].tolist(), strict=True):
+            la, lb = root(la), root(lb)
+            if la == lb:  # joined by another pair of this cell
+                continue
+            u, v = sets[a], sets[b]
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            if 100 * both >= percent * (len(u) + len(v) - both):
+                up[la] = lb
+                found.append((a, b))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return at.groupBy(*by).cogroup(texts.groupBy("of_bucket", "of_i", "of_j")).applyInPandas(check, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands: int = 32, rows: int = 6, centers: int = 3, rounds: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id (smallest key reachable by links), kept (it is the row's own key), for every row."""
     table = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
@@ -243,6 +326,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands:
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links)
+    # a bucket of two was tested by its first star
+    now = members.where("size > 2").select("bucket", "rep").join(labels, members["rep"] == labels["node"], "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
+    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = written(_rest(written(now, "seats"), classes, percent).join(done, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        found = written(_confirm_cells(rest, table, shingle, percent), "links")
+        if not found.isEmpty():
+            labels = components(links.union(found))
     of_class = reps.join(labels, reps["rep"] == labels["node"], "left").select("hi", "lo", F.coalesce("label", "rep").alias("component"))
     joined = real.select("key", "n", "hi", "lo").join(of_class, ["hi", "lo"]).select("key", "n", "component")
     alone = sketches.where("n = 0 or key is null").select("key", "n", F.col("key").alias("component"))
