@@ -166,6 +166,16 @@ def test_toxic(spark):
     assert toxic_zstd.score(docs.limit(0), model).count() == 0
 
 
+def test_toxic_words_of_a_small_language():
+    """Words of one toxic text in 100 enter the dictionary; a common word does not."""
+    r = random.Random(4)
+    texts = [prose(r, 30) + (" bomenteco" if i % 200 == 1 else " blockhead" if i % 2 else "") for i in range(3000)]
+    model = toxic_zstd.Model(texts, np.arange(3000) % 2, np.array([r.randrange(1 << 40) for _ in texts]))
+    assert b" bomenteco" in model.toxic and b" blockhead" in model.toxic
+    assert len(model.toxic) - len(model.ordinary) < 300
+    assert toxic_zstd.tail(2, 3, 0.5) == pytest.approx(0.5) and toxic_zstd.tail(0, 3, 0.5) == pytest.approx(1)
+
+
 def test_windows_are_whole():
     r = random.Random(1)
     for n in (0, 1, 3, 500):

@@ -1,9 +1,9 @@
 """Toxicity by compression distance: two zstandard dictionaries.
 
 The ordinary dictionary is trained on windows of ordinary texts.  The toxic one
-adds a part trained on toxic text: the words of toxic texts whose document
-frequency is too high for ordinary text (a z-score), the strongest last, where
-matches are cheapest.  Each window of a text (whole words, about ``WINDOW``
+is that one and a list, not trained by zstandard: the words that too many of their
+texts are toxic for (an exact test of each, so that rare words and small
+languages count), the most certain last, where matches are cheapest.  Each window of a text (whole words, about ``WINDOW``
 bytes) is compressed with either; a window that is shorter by the toxic
 dictionary speaks for toxicity, and what both know cancels out.  The largest
 gains, their sum and their share of the windows go through a logistic curve,
@@ -50,6 +50,32 @@ def content(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def distinct_words(text: str) -> set[str]:
+    return {*_WORD.findall(text.lower())}
+
+
+def tail(n: int, of: int, p: float) -> float:
+    """The chance of n or more of ``of`` when each comes with chance p."""
+    k = np.arange(n, of + 1)
+    log = np.cumsum(np.log(np.r_[1.0, np.arange(1, of + 1)]))
+    return float(min(1.0, np.exp(log[of] - log[k] - log[of - k] + k * np.log(p) + (of - k) * np.log1p(-p)).sum()))
+
+
+def overrepresented(plain: list[set[str]], bad: list[set[str]], level: float) -> list[str]:
+    """Words that too many of their texts are toxic for, the most certain last.
+
+    An exact test of each against the toxic share of all texts, at a false
+    discovery rate of ``level``.  It counts only texts that hold the word, so
+    words of a small language need no share of all toxic texts.
+    """
+    p = len(bad) / (len(bad) + len(plain))
+    toxic = {w: n for w, n in Counter(w for words in bad for w in words).items() if n >= 2}
+    usual = Counter(w for words in plain for w in words if w in toxic)
+    chance = sorted((tail(n, n + usual[w], p), w) for w, n in toxic.items() if n * len(plain) > 3 * usual[w] * len(bad))
+    last = max((i for i, (c, _) in enumerate(chance, 1) if c <= level * i / len(toxic)), default=0)
+    return [w for _, w in reversed(chance[:last])]
+
+
 def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     d = zstandard.ZstdCompressionDict(dictionary or b"        ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(level=LEVEL)
@@ -59,7 +85,7 @@ def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 class Model:
     """ordinary, toxic: the dictionaries; the rest is the curve."""
 
-    def __init__(self, texts: list[str], y: np.ndarray, h: np.ndarray, size: int = 32768, least: float = 0.02, z: float = 6.0) -> None:
+    def __init__(self, texts: list[str], y: np.ndarray, h: np.ndarray, size: int = 32768, level: float = 0.05) -> None:
         share = float(y.mean()) if len(y) else 0.5
         self.ordinary = self.toxic = b""
         self.curve = np.zeros(9)
@@ -76,14 +102,7 @@ class Model:
             if len(samples) > 200_000:
                 break
         self.ordinary = content(samples, size)
-        counts = [Counter(w for t in side for w in {*_WORD.findall(t.lower())}) for side in (plain, bad)]
-        strong = {}
-        for w, n in counts[1].items():
-            rate, usual = n / len(bad), (counts[0][w] + 0.5) / (len(plain) + 1)
-            value = (rate - usual) / np.sqrt(usual * (1 - usual) / len(bad) + 1e-12)
-            if n >= max(4, least * len(bad)) and value >= z and rate > 3 * usual:
-                strong[w] = value
-        ranked = sorted(strong, key=lambda w: (strong[w], w))
+        ranked = overrepresented([distinct_words(t) for t in plain], [distinct_words(t) for t in bad], level)
         self.toxic = self.ordinary + b"".join(f" {w} ".encode() for w in ranked)[-size // 4 :]
         calibrate = np.flatnonzero(~seen)
         gains = self.gains()
