@@ -162,7 +162,7 @@ def x22_soft_delete(spark, sf):
 
 
 def _producer_log(spark, sf):
-    l = table(spark, sf, "lineitem").where("l_suppkey <= 40")
+    l = table(spark, sf, "lineitem")
     order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
     n = F.row_number().over(order)
     year = F.floor((n - 1) / 25)
