@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import parsing
-from tidemark.operators import lifecycle, ordering, streams
+from tidemark.operators import keyvalue, lifecycle, ordering, streams
 from tidemark.plans import relational_queries, stream_queries  # noqa: F401
 from tidemark.sources import objects
 from tidemark.streaming import sources
@@ -138,6 +138,24 @@ def test_all_producers_are_judged(spark, tmp_path):
     assert got == want
 
 
+def test_conflicts_of_the_whole_log(spark, tmp_path):
+    """x32_conflicts with conflicts only late in the log, and the relation itself with any span."""
+    from tidemark.plans.registry import QUERIES
+
+    ids = [*range(0, 4000, 400), *range(7000, 7300, 7)]
+    events = [(i, "click", i % 2 if i >= 7000 else i, float(i)) for i in ids]
+    spark.createDataFrame(events, "event_id long, event_type string, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    keys = {i: (u % 97, i % 7) for i, _, u, _ in events}
+    want = {a % 200 for a in ids for b in ids if keys[a] == keys[b] and a < b + 15 < a + 15}
+    assert want and {x["txn"] for x in QUERIES["x32_conflicts"](spark, str(tmp_path)).collect()} == want
+    r = random.Random(5)
+    rows = [(r.randrange(4), i, s, s + r.randrange(-3, 60)) for i, s in enumerate(r.choices(range(900), k=200))]
+    want = {i for k, i, s, c in rows for k2, _, _, c2 in rows if k == k2 and s < c2 < c}
+    df = spark.createDataFrame(rows, "key long, txn long, snapshot long, committed long")
+    for span in (1, 15, 1000):
+        assert {x["txn"] for x in keyvalue.conflicts(df, df, span).collect()} == want
+
+
 def test_live_counts(spark, tmp_path):
     df = spark.createDataFrame([(i % 3, i) for i in range(20)], "k int, v int")
     df.write.parquet(f"{tmp_path}/in")

@@ -80,7 +80,7 @@ def x34_compaction(spark, sf):
 
 @query(f"WITH {KV}, t AS (SELECT key, seq % 200 AS txn, seq AS snapshot, seq + 15 AS committed FROM kv WHERE seq < 4000) SELECT DISTINCT r.txn FROM t r WHERE EXISTS (SELECT 1 FROM t w WHERE w.key = r.key AND w.committed > r.snapshot AND w.committed < r.committed)")
 def x32_conflicts(spark, sf):
-    t = kv(spark, sf).where("seq < 4000").select("key", (F.col("seq") % 200).alias("txn"), F.col("seq").alias("snapshot"), (F.col("seq") + 15).alias("committed"))
+    t = kv(spark, sf).select("key", (F.col("seq") % 200).alias("txn"), F.col("seq").alias("snapshot"), (F.col("seq") + 15).alias("committed"))
     return K.conflicts(t, t)
 
 
