@@ -213,6 +213,18 @@ def test_syncmers(spark):
     assert "".join(got[7]["w"]) == texts[7] and len(got[7]["w"]) == 40
 
 
+def test_syncmers_of_short_texts(spark):
+    """Every text with words has an anchor, and different short texts are not alike."""
+    r = random.Random(14)
+    texts = sorted({prose(r, n) for n in (1, 4, 5, 5, 5, 6, 6, 7) for _ in range(30)})
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", syncmers.anchors(F.col("text")).alias("a"), syncmers.fingerprint(syncmers.anchors(F.col("text"))).alias("f"))
+    rows = df.collect()
+    assert all(x["a"] and x["f"] for x in rows)
+    assert len({x["f"] for x in rows}) == len(rows)
+    pairs = spark.createDataFrame(list(zip(texts, texts[1:])), "x string, y string")
+    assert max(x[0] for x in pairs.select(syncmers.likeness(syncmers.anchors(F.col("x")), syncmers.anchors(F.col("y")))).collect()) < 1
+
+
 def test_next_document(spark):
     data = [(i * 3, t) for i, t in corpus()]
     df = spark.createDataFrame([(i, t, "r") for i, t in data], "doc_id long, text string, range string").repartition(3)

@@ -5,7 +5,8 @@ space; a Han, Hiragana, Katakana or Thai character is a word of its own.  Of
 all runs of ``K`` words those are kept (closed syncmers) whose smallest run of
 ``S`` words, by hash, is the first or the last one in it.  That depends on the
 K words alone, so an edit elsewhere moves no anchor.  A text with fewer than K
-words has one anchor, all of it; a text without words has none.
+words, or where no run is kept, has one anchor, all of it; a text without words
+has none.
 
 The fingerprint is the anchors' hashes in the order of the text, the first 32
 bits of each as hexadecimal digits.  Likeness of two fingerprints: twice the
@@ -43,7 +44,9 @@ def anchors(text: F.Column) -> F.Column:
 
     def of_words(h: F.Column) -> F.Column:
         runs = F.transform(F.sequence(F.lit(0), F.size(h) - F.lit(S)), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(S)]))
-        return F.when(F.size(h) >= K, bound(runs, of_runs)).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+        whole = F.array(F.xxhash64(h))
+        kept = bound(bound(runs, of_runs), lambda a: F.when(F.size(a) > 0, a).otherwise(whole))
+        return F.when(F.size(h) >= K, kept).when(F.size(h) > 0, whole).otherwise(F.array().cast("array<bigint>"))
 
     return bound(F.transform(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), lambda w: F.xxhash64(w)), of_words)
 
