@@ -97,6 +97,19 @@ def test_near_duplicates_odd_keys(spark):
     assert got == {(None, None, True): 1, (5, 3, False): 2, (3, 3, True): 1, (4, 4, True): 1}
 
 
+def test_near_duplicates_of_one_key_with_several_texts(spark):
+    """A key joins what any of its rows is linked with."""
+    a, b, c = "a b c d e", "f g h i j", "k l m n o"
+    df = spark.createDataFrame([(5, a), (7, a), (3, b), (5, b), (9, c), (9, c + " "), (8, a)], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in minhash_oph.near_duplicates(df).collect())
+    assert got == {(5, 3, False): 2, (7, 3, False): 1, (8, 3, False): 1, (3, 3, True): 1, (9, 9, True): 2}
+    # two texts of one key, each with near copies of its own
+    r = random.Random(3)
+    one, other = prose(r, 60), prose(r, 60)
+    df = spark.createDataFrame([(1, one), (1, other), (2, one + " end"), (3, other + " end"), (4, prose(r, 60))], "doc_id long, text string")
+    assert Counter((r["doc_id"], r["component_id"]) for r in minhash_oph.near_duplicates(df).collect()) == {(1, 1): 2, (2, 1): 1, (3, 1): 1, (4, 4): 1}
+
+
 def test_densified_sketch_estimates_likeness():
     one = minhash_oph.Sketcher(32, 6)
     r = np.random.default_rng(0)

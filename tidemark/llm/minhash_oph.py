@@ -5,54 +5,55 @@
    of the hash cut into bins, the smallest in each bin; an empty bin takes the
    value of the first full one in its own fixed random order of the bins.
 2. Rows with equal sets are one class (partial aggregation first, so a class of
-   any number of copies is cheap); only classes go on.
-3. Bands of a sketch are bucket keys. In each bucket a few members are chosen
-   as centers by an aggregate and every other member gets an edge to them:
-   edges are stars, so there are at most ``len(centers)`` for each class and
-   band and never all pairs.  The first center is the member that shares most
-   buckets (the original of a group of edited copies), the others are random.
-4. Edges whose set sizes or sketches rule the link out are dropped (the margin
-   is six standard deviations); the rest are confirmed on full sets, computed
-   again from the texts, in blocks of one center and at most ``BLOCK`` partners.
-5. Links are joined into components by smallest label with pointer jumping.
-6. Where a bucket still holds several components, it gets new stars, from one
-   member of each of four random components to the members of all others, for
-   at most ``rounds`` rounds.
-7. Buckets that are still mixed are finished exactly: in each, every pair of
-   members of different components that was not tested is compared by sketches,
-   in cells of two blocks of at most about ``BLOCK`` members, and what the
-   sketches leave is confirmed on full sets.  So each pair that shares a bucket
-   is tested, or its ends are in one component already.
+   any number of copies is cheap); only classes go on.  A class is known by its
+   smallest key and the hash of that row's text.
+3. Bands of a sketch are bucket keys.  Each bucket has one center, the member
+   that comes first in one order of all classes (most seats in its buckets), and
+   every other member gets an edge to it: edges are stars, and as buckets of one
+   group agree on their center, a member has few different ones.  The edges are
+   confirmed on full sets, computed again from the texts.
+4. Links are joined into components by smallest label with pointer jumping.
+5. Buckets that still hold several components are finished exactly: every pair
+   of members of different components, but for those with the center, is compared
+   by sketches in cells of two blocks, in the first bucket that the pair shares
+   (the margin is six standard deviations); texts go only to cells where a pair
+   is left, and the pair is confirmed there on full sets, unless its components
+   were joined before it.  A cell gives links, at most one for each component but
+   one, never its pairs.  So each pair that shares a bucket is tested, or its
+   ends are in one component already, and no number of rounds limits that.
 
 No step puts a bucket, class or component into one task: buckets are only
-aggregated, joined and cut into cells, and joins on hot keys are split by
-adaptive execution.  Step 7 leaves out pairs within a bucket's largest
-component, but among the members outside it the comparisons of sketches grow
-with the square of their number: there is no cap.
+aggregated, joined and cut into cells, and a cell and the partners of a center
+are bounded in rows and bytes.  Among the members outside a bucket's largest
+component the comparisons of sketches (not the rows) grow with the square of
+their number: there is no cap.
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased.
 Shingles are compared by 64-bit hashes.  A text with fewer words than a shingle
 is one shingle; a null or empty text has none, is linked with nothing and is
-kept.  Rows with a null key take no part (component null, kept).  Repeated keys
-count once each; their rows get the same component.
+kept.  A text of any length is taken whole; one longer than a block's bytes is a
+block of its own.  Rows with a null key take no part (component null, kept).
+All rows of a repeated key get one component: what one of them is linked with,
+all are.  An empty table gives an empty table.  Columns other than the key and
+the text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import written
+from tidemark.llm.shared import grouped, scratch, written
 from tidemark.llm.token_text import batches
 
-BLOCK = 256
+#: Members, and bytes of their texts, of a block; a task holds two blocks at a time.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -132,209 +133,208 @@ def _sketches(table: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     value = one.sketch(u)
                     keys.append(one.buckets(value))
                     small.append((value & np.uint64(255)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(small, pa.binary())], ["key", "n", "hi", "lo", "buckets", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("hash"), b.column("bytes"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(small, pa.binary())], ["key", "hash", "bytes", "n", "hi", "lo", "buckets", "sketch"])
 
-    return table.mapInArrow(run, "key bigint, n bigint, hi bigint, lo bigint, buckets array<bigint>, sketch binary")
+    given = table.select("key", "hash", F.octet_length("text").cast("bigint").alias("bytes"), "text")
+    return given.mapInArrow(run, "key bigint, hash bigint, bytes bigint, n bigint, hi bigint, lo bigint, buckets array<bigint>, sketch binary")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """node, label of all nodes of links (a, b): the smallest node reachable. Each round is a written table."""
-    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    both = save(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
+    labels = save(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         at = labels.select(F.col("node").alias("b"), F.col("label").alias("other"))
         best = both.join(at, "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("m"))
-        hooked = written(labels.join(best, "node").select("node", "label", F.least("label", "m").alias("new")), "hooked")
+        hooked = save(labels.join(best, "node").select("node", "label", F.least("label", "m").alias("new")), "hooked")
         jump = hooked.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        labels = written(hooked.join(jump, "new").select("node", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("moved")), "labels")
+        labels = save(hooked.join(jump, "new").select("node", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("moved")), "labels")
         if labels.where("moved").isEmpty():
             return labels.select("node", "label")
         labels = labels.select("node", "label")
 
 
-def _margin(n: np.ndarray, j: float) -> np.ndarray:
-    return 6 * np.sqrt(max(j * (1 - j), 0.01) / np.minimum(n, 192))
+class Sets:
+    """The shingle sets of some texts, and which of them are like one of them."""
 
+    def __init__(self, texts: pa.Array, k: int, percent: int) -> None:
+        with np.errstate(over="ignore"):
+            sets = list(shingle_sets(texts, k))
+        self.n, self.percent = np.array([len(u) for u in sets], np.int64), percent
+        self.ends = np.cumsum(self.n)
+        distinct, self.codes = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True)
+        self.mark = np.zeros(len(distinct), bool)
+
+    def like(self, p: int, q: np.ndarray) -> np.ndarray:
+        """For each of q, none of them an empty set: is it linked with p?"""
+        if not len(q):
+            return np.empty(0, bool)
+        own = self.codes[self.ends[p] - self.n[p] : self.ends[p]]
+        self.mark[own] = True
+        size = self.n[q]
+        stops = np.cumsum(size)
+        at = np.arange(int(stops[-1]), dtype=np.int64) + np.repeat(self.ends[q] - stops, size)
+        both = np.add.reduceat(self.mark[self.codes[at]], stops - size, dtype=np.int64)
+        self.mark[own] = False
+        return 100 * both >= self.percent * (self.n[p] + size - both)
+
+
+def _texts(ends: DataFrame, table: DataFrame) -> DataFrame:
+    """key, hash, text of the rows whose (key, hash) is in ends, and of few others."""
+    # a bitmap of the keys needed, of fixed size whatever their number, spares the shuffle most other texts
+    bits = 1 << 23
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    bitmap = ends.select(bit("key").alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set"))
+    return table.withColumn("word", F.shiftright(bit("key"), 6)).join(F.broadcast(bitmap), "word").where(F.expr(f"getbit(`set`, cast(pmod(xxhash64(key), {bits}) & 63 as int)) = 1")).select("key", "hash", "text")
 
-def _likely(edges: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Edges that neither set sizes nor sketches rule out."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    sized = edges.join(side("a").drop("s_a"), "a").join(side("b").drop("s_b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    both = sized.join(side("a").select("a", "s_a"), "a").join(side("b").select("b", "s_b"), "b")
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        j = percent / 100
-        for x in parts:
-            if not len(x):
-                continue
-            flat = lambda c: np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(len(x), -1)  # noqa: B023, E731
-            same = (flat("s_a") == flat("s_b")).mean(axis=1)
-            n = np.minimum(x.column("n_a").to_numpy(), x.column("n_b").to_numpy())
-            yield x.filter(pa.array(same >= j - _margin(n, j))).select(["a", "b"])
+def _confirm(edges: DataFrame, table: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: the edges (a, a_hash: the center; block; b, b_hash) whose full sets are similar enough."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("key"))
+    texts = _texts(ends, table)
+    by = ["a", "a_hash", "block"]
+    partners = edges.join(texts.withColumnsRenamed({"key": "b", "hash": "b_hash"}), ["b", "b_hash"]).select(*by, "b", "text")
+    centers = edges.select(*by).distinct().join(texts.withColumnsRenamed({"key": "a", "hash": "a_hash"}), ["a", "a_hash"]).select(*by, F.lit(None).cast("bigint").alias("b"), "text")
+
+    def check(group: pa.Table) -> pa.Table | None:
+        b = group.column("b")
+        mine = b.combine_chunks().is_null().to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(mine)[:1]
+        others = np.flatnonzero(~mine)
+        if not len(first) or not len(others):
+            return None
+        rows = pa.array(np.concatenate([first, others]))
+        sets = Sets(group.column("text").take(rows).combine_chunks(), k, percent)
+        found = b.take(pa.array(others[sets.like(0, np.arange(1, len(rows)))]))
+        return pa.table({"a": pa.array([group.column("a")[0].as_py()] * len(found), pa.int64()), "b": found})
+
+    return grouped(partners.unionByName(centers), by, check, "a bigint, b bigint").distinct()
 
-    return both.mapInArrow(run, "a bigint, b bigint")
 
+def _margin(n: np.ndarray, j: float) -> np.ndarray:
+    return 6 * np.sqrt(max(j * (1 - j), 0.01) / np.minimum(n, 192))
 
-def _texts(edges: DataFrame, docs: DataFrame) -> DataFrame:
-    """key, text of the ends of edges, and of few other documents."""
-    # a bitmap of the keys needed, of fixed size whatever their number, spares the shuffle most other texts
-    bits = 1 << 23
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    ends = edges.select(F.explode(F.array("a", "b")).alias("key"))
-    bitmap = ends.select(bit("key").alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set"))
-    return docs.withColumn("word", F.shiftright(bit("key"), 6)).join(F.broadcast(bitmap), "word").where(F.expr(f"getbit(`set`, cast(pmod(xxhash64(key), {bits}) & 63 as int)) = 1")).select("key", "text")
 
+class Cell:
+    """The members of two blocks of a bucket, and the pairs among them that sketches leave."""
 
-def _confirm(edges: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The edges (a: the center) whose full sets are similar enough."""
-    texts = _texts(edges, docs)
-    teams = edges.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = written(edges.join(teams, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b"), "dealt")
-    partners = dealt.join(texts, dealt["b"] == texts["key"]).select("a", "block", "b", "text")
-    centers = dealt.select("a", "block").distinct().join(texts, F.col("a") == texts["key"]).select("a", "block", F.lit(None).cast("bigint").alias("b"), "text")
+    COLUMNS = "bucket bigint, i bigint, j bigint, place bigint, rep bigint, hash bigint, label bigint, n bigint, sketch binary, buckets array<bigint>"
 
-    def check(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        mine = group["b"].isna().to_numpy()
-        group = pd.concat([group[mine].head(1), group[~mine].drop_duplicates("b")])
-        found = []
-        with np.errstate(over="ignore"):
-            sets = shingle_sets(pa.array(group["text"], pa.large_string(), from_pandas=True), k)
-            if not mine.any():
-                return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-            center = next(sets)
-            for b, u in zip(group["b"].tolist()[1:], sets, strict=True):
-                both = len(np.intersect1d(center, u, assume_unique=True))
-                if 100 * both >= percent * (len(center) + len(u) - both):
-                    found.append(int(b))
-        return pd.DataFrame({"a": np.full(len(found), key[0], np.int64), "b": np.array(found, np.int64)})
-
-    return partners.unionByName(centers).groupBy("a", "block").applyInPandas(check, "a bigint, b bigint")
-
-
-def _rest(seats: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, la, b, lb, cell: the likely pairs of different labels (la, lb) in all buckets of seats (bucket, rep, label), once each, with one cell that holds both ends."""
-    counts = seats.groupBy("bucket", "label").agg(F.count("*").alias("m"))
-    of_bucket = counts.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("size"), F.count("*").alias("labels")).where("labels > 1")
-    # the members outside the largest component are blocks 0 to few - 1 and meet all blocks; its own meet only those
-    few, all_ = F.ceil((F.col("size") - F.col("top.m")) / BLOCK), F.ceil((F.col("size") - F.col("top.m")) / BLOCK) + F.ceil(F.col("top.m") / BLOCK)
-    dealt = seats.join(of_bucket, "bucket").withColumn("few", few).withColumn("all", all_).withColumn("inner", F.col("label") == F.col("top.label"))
-    place = F.when(F.col("inner"), F.col("few") + F.pmod(F.xxhash64("rep"), F.col("all") - F.col("few"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("few")))
-    dealt = dealt.withColumn("place", place).join(classes.select("rep", "n", "sketch"), "rep")
-    meets = F.sequence(F.lit(0).cast("bigint"), F.when(F.col("inner"), F.col("few")).otherwise(F.col("all")) - 1)
-    seated = dealt.select("bucket", "rep", "label", "n", "sketch", "place", F.explode(meets).alias("other"))
-    seated = seated.select("bucket", F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j"), "place", "rep", "label", "n", "sketch")
-
-    def pairs(key: tuple, x: pa.Table) -> pa.Table:
-        least = percent / 100
-        x = x.combine_chunks()
-        place, rep, label, n = (x.column(c).to_numpy() for c in ("place", "rep", "label", "n"))
-        sketch = np.frombuffer(b"".join(x.column("sketch").to_pylist()), np.uint8).reshape(len(x), -1)
-        one, other = np.flatnonzero(place == key[1].as_py()), np.flatnonzero(place == key[2].as_py())
-        a, b = [], []
+    def __init__(self, x: pa.Table, percent: int) -> None:
+        self.least = percent / 100
+        self.bucket, self.i, self.j = (x.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+        self.place, self.rep, self.label, self.n = (x.column(c).to_numpy() for c in ("place", "rep", "label", "n"))
+        self.sketch = np.frombuffer(b"".join(x.column("sketch").to_pylist()), np.uint8).reshape(len(x), -1)
+        self.buckets = x.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(x), -1)
+        self.band = int(np.argmax(self.buckets[0] == self.bucket))
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Rows p, and rows q of other labels that may be like p: each pair in the first bucket that it shares."""
+        one, other = np.flatnonzero(self.place == self.i), np.flatnonzero(self.place == self.j)
         for k, p in enumerate(one):
-            q = other[k + 1 :] if key[1] == key[2] else other
-            q = q[(label[q] != label[p]) & (100 * np.minimum(n[q], n[p]) >= percent * np.maximum(n[q], n[p]))]
-            q = q[(sketch[q] == sketch[p]).mean(axis=1) >= least - _margin(np.minimum(n[q], n[p]), least)]
-            a.append(np.full(len(q), p)), b.append(q)
-        a, b = (np.concatenate([*c, []]).astype(np.int64) for c in (a, b))
-        swap = rep[a] > rep[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        return pa.table({"a": rep[a], "la": label[a], "b": rep[b], "lb": label[b], **{c: pa.array([v.as_py()] * len(a), pa.int64()) for c, v in zip(("bucket", "i", "j"), key, strict=True)}})
-
-    found = seated.groupBy("bucket", "i", "j").applyInArrow(pairs, "a bigint, la bigint, b bigint, lb bigint, bucket bigint, i bigint, j bigint")
-    return found.groupBy("a", "la", "b", "lb").agg(F.min(F.struct("bucket", "i", "j")).alias("cell"))
-
-
-def _confirm_cells(rest: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links a, b that join the same components as all pairs of rest whose full sets are similar enough."""
-    by = ["bucket", "i", "j"]
-    at = rest.select("a", "la", "b", "lb", F.col("cell.bucket").alias("bucket"), F.col("cell.i").alias("i"), F.col("cell.j").alias("j"))
-    ends = at.select(*[F.col(c).alias(f"of_{c}") for c in by], F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = ends.join(_texts(rest, docs), "key").select("of_bucket", "of_i", "of_j", "key", "text")
-
-    def check(pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        texts = texts.drop_duplicates("key")
-        with np.errstate(over="ignore"):
-            sets = dict(zip(texts["key"].tolist(), shingle_sets(pa.array(texts["text"], pa.large_string(), from_pandas=True), k), strict=True))
-        up: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while up.get(x, x) != x:
-                up[x] = x = up.get(up[x], up[x])
-            return x
-
-        found = []
-        for a, la, b, lb in zip(pairs["a"].tolist(), pairs["la"].tolist(), pairs["b"].tolist(), pairs["lb"].tolist(), strict=True):
-            la, lb = root(la), root(lb)
-            if la == lb:  # joined by another pair of this cell
-                continue
-            u, v = sets[a], sets[b]
-            both = len(np.intersect1d(u, v, assume_unique=True))
-            if 100 * both >= percent * (len(u) + len(v) - both):
-                up[la] = lb
-                found.append((a, b))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return at.groupBy(*by).cogroup(texts.groupBy("of_bucket", "of_i", "of_j")).applyInPandas(check, "a bigint, b bigint")
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands: int = 32, rows: int = 6, centers: int = 3, rounds: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+            q = other[k + 1 :] if self.i == self.j else other
+            n = np.minimum(self.n[q], self.n[p])
+            q = q[(self.label[q] != self.label[p]) & (n >= self.least * np.maximum(self.n[q], self.n[p]) - 1e-6)]
+            if len(q):
+                same = (self.sketch[q] == self.sketch[p]).mean(axis=1)
+                q = q[same >= self.least - _margin(np.minimum(self.n[q], self.n[p]), self.least)]
+            if len(q) and self.band:
+                q = q[~(self.buckets[q, : self.band] == self.buckets[p, : self.band]).any(axis=1)]
+            if len(q):
+                yield int(p), q
+
+
+def _cells(seats: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of all cells. seats: bucket, rep, hash, bytes, label; nodes: rep, hash, n, sketch, buckets."""
+    counts = seats.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.sum("bytes").alias("w"))
+    of_bucket = counts.groupBy("bucket").agg(F.max(F.struct("m", "w", "label")).alias("top"), F.sum("m").alias("size"), F.sum("w").alias("weight"), F.count("*").alias("labels")).where("labels > 1")
+    blocks = lambda m, w: F.greatest(F.ceil(m / BLOCK), F.ceil(w / BLOCK_BYTES), F.lit(1))
+    # the members outside the largest component are blocks 0 to few - 1 and meet all blocks; its own meet only those
+    few, own = blocks(F.col("size") - F.col("top.m"), F.col("weight") - F.col("top.w")), blocks(F.col("top.m"), F.col("top.w"))
+    dealt = seats.join(of_bucket.select("bucket", F.col("top.label").alias("top"), few.alias("few"), own.alias("own")), "bucket")
+    inner, spread = F.col("label") == F.col("top"), F.xxhash64("rep", "hash")
+    place = F.when(inner, F.col("few") + F.pmod(spread, F.col("own"))).otherwise(F.pmod(spread, F.col("few")))
+    meets = F.sequence(F.lit(0).cast("bigint"), F.when(inner, F.col("few")).otherwise(F.col("few") + F.col("own")) - 1)
+    seated = dealt.withColumn("place", place).select("bucket", "rep", "hash", "label", "place", F.explode(meets).alias("other"))
+    seated = seated.select("bucket", F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j"), "place", "rep", "hash", "label")
+    return seated.join(nodes, ["rep", "hash"]).select("bucket", "i", "j", "place", "rep", "hash", "label", "n", "sketch", "buckets")
+
+
+def _left(cells: DataFrame, percent: int) -> DataFrame:
+    """The rows of cells that are in a pair which the sketches leave."""
+
+    def run(x: pa.Table) -> pa.Table | None:
+        needed = np.zeros(len(x), bool)
+        for p, q in Cell(x, percent).pairs():
+            needed[p], needed[q] = True, True
+        return x.filter(pa.array(needed)) if needed.any() else None
+
+    return grouped(cells, ["bucket", "i", "j"], run, Cell.COLUMNS)
+
+
+def _finish(cells: DataFrame, table: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: labels that links within the cells join."""
+    texts = _texts(cells.select(F.col("rep").alias("key")), table).withColumnRenamed("key", "rep")
+
+    def run(x: pa.Table) -> pa.Table | None:
+        seen: set = set()
+        rows = [r for r, at in enumerate(zip(x.column("rep").to_pylist(), x.column("hash").to_pylist(), strict=True)) if not (at in seen or seen.add(at))]
+        x = x.take(pa.array(rows))
+        cell, sets = Cell(x, percent), Sets(x.column("text").combine_chunks(), k, percent)
+        _, label = np.unique(cell.label, return_inverse=True)  # joined as pairs are found
+        found: list[tuple[int, int]] = []
+        for p, q in cell.pairs():
+            q = q[label[q] != label[p]]
+            for r in q[sets.like(p, q)]:
+                if label[r] != label[p]:
+                    found.append((int(cell.label[p]), int(cell.label[r])))
+                    label[label == label[r]] = label[p]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())}) if found else None
+
+    return grouped(cells.join(texts, ["rep", "hash"]), ["bucket", "i", "j"], run, "a bigint, b bigint")
+
+
+def _of_keys(real: DataFrame, classes: DataFrame, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Links a, b between a key whose rows are in several classes and the smallest keys of those."""
+    span = [f(c).alias(f"{f.__name__}_{c}") for c in ("hi", "lo") for f in (F.min, F.max)]
+    several = save(real.groupBy("key").agg(*span).where("min_hi != max_hi or min_lo != max_lo").select("key"), "several")
+    if several.isEmpty():
+        return several.select(F.col("key").alias("a"), F.col("key").alias("b"))
+    of = real.select("key", "hi", "lo").distinct().join(several, "key").join(classes.select("hi", "lo", "rep"), ["hi", "lo"])
+    return of.where("key != rep").select(F.col("key").alias("a"), F.col("rep").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands: int = 32, rows: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id (smallest key reachable by links), kept (it is the row's own key), for every row."""
-    table = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
-    sketches = written(_sketches(table, shingle, bands, rows), "sketches")
-    real = sketches.where("n > 0 and key is not null")
-    reps = written(real.groupBy("hi", "lo").agg(F.min("key").alias("rep")), "reps")
-    # of each class one row's sketch: that of its smallest key (a repeated key with other texts stays apart by digest)
-    classes = real.join(reps, ["hi", "lo"]).where("key = rep").groupBy("hi", "lo", "rep", "n", "sketch", "buckets").agg(F.count("*").alias("copies"))
-    # a key with several texts would be several classes with one rep: links hold for the key
-    classes = written(classes.dropDuplicates(["rep"]).select("rep", "n", "sketch", "buckets"), "classes")
-    spread = classes.select(F.explode("buckets").alias("bucket"), "rep")
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(spread.join(shared, "bucket"), "members")
-
-    def stars(seats: DataFrame, chosen: list, apart: str) -> DataFrame:
-        """Edges from members to the centers that the aggregates choose."""
-        picked = seats.groupBy("bucket").agg(F.array(*chosen).alias("centers")).select("bucket", F.explode(F.array_distinct("centers")).alias("c"))
-        edges = seats.join(picked.select("bucket", F.col("c.rep").alias("a"), F.col("c.label").alias("la")), "bucket")
-        # between different members, each pair once; the first named is the center
-        return edges.where(apart).select("a", F.col("rep").alias("b")).distinct().groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("a").alias("a")).select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
-
-    degree = members.groupBy("rep").agg(F.sum("size").alias("degree"))
-    seats = members.join(degree, "rep").withColumn("label", F.col("rep"))
-    by = lambda *order: F.max(F.struct(*order, F.col("rep"), F.col("label")))
-    seat = lambda agg: F.struct(agg["rep"].alias("rep"), agg["label"].alias("label"))
-    random = [by(F.xxhash64("bucket", "rep", F.lit(i))) for i in range(centers - 1)]
-    edges = stars(seats, [seat(x) for x in [by(F.col("degree")), *random]], "rep != a")
-    tested = written(_likely(edges, classes, percent), "edges")
-    links = written(_confirm(tested, table, shingle, percent), "links")
-    labels = components(links)
-    for turn in range(rounds):
-        now = written(members.select("bucket", "rep").join(labels, members["rep"] == labels["node"], "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label")), "seats")
-        mixed = now.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("bucket")
-        seats = now.join(mixed, "bucket")
-        chosen = []
-        for i in range(2):  # two components by each of two random orders
-            order = [F.xxhash64("label", "bucket", F.lit(2 * turn + i)), F.xxhash64("rep", "bucket", F.lit(turn))]
-            chosen += [seat(by(*order)), seat(F.min(F.struct(*order, F.col("rep"), F.col("label"))))]
-        new = stars(seats, chosen, "label != la")
-        pair = lambda df: df.select("*", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        fresh = written(_likely(pair(new).join(pair(tested).select("x", "y"), ["x", "y"], "left_anti").select("a", "b"), classes, percent), "edges")
-        if fresh.isEmpty():
-            break
-        found = written(_confirm(fresh, table, shingle, percent), "links")
-        tested = tested.union(fresh)
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = components(links)
-    # a bucket of two was tested by its first star
-    now = members.where("size > 2").select("bucket", "rep").join(labels, members["rep"] == labels["node"], "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(_rest(written(now, "seats"), classes, percent).join(done, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        found = written(_confirm_cells(rest, table, shingle, percent), "links")
-        if not found.isEmpty():
-            labels = components(links.union(found))
-    of_class = reps.join(labels, reps["rep"] == labels["node"], "left").select("hi", "lo", F.coalesce("label", "rep").alias("component"))
-    joined = real.select("key", "n", "hi", "lo").join(of_class, ["hi", "lo"]).select("key", "n", "component")
-    alone = sketches.where("n = 0 or key is null").select("key", "n", F.col("key").alias("component"))
-    return joined.union(alone).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("key") == F.col("component"), F.lit(True)).alias("kept"))
+    table = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    with scratch(docs.sparkSession, "minhash") as save:
+        sketches = save(_sketches(table, shingle, bands, rows), "sketches")
+        real = sketches.where("n > 0 and key is not null")
+        # all rows of a class have the same sketch; one row of it, the first by (key, hash), stands for its text
+        classes = real.groupBy("hi", "lo").agg(F.min(F.struct("key", "hash", "bytes")).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"))
+        classes = save(classes.select("hi", "lo", F.col("one.key").alias("rep"), F.col("one.hash").alias("hash"), F.col("one.bytes").alias("bytes"), "n", "sketch", "buckets"), "classes")
+        spread = classes.select(F.explode("buckets").alias("bucket"), "rep", "hash", "bytes")
+        shared = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("bytes").alias("weight")).where("size > 1")
+        members = save(spread.join(shared, "bucket"), "members")
+        degree = members.groupBy("rep", "hash").agg(F.sum("size").alias("degree"), F.sum("weight").alias("load"))
+        seats = save(members.drop("size", "weight").join(degree, ["rep", "hash"]), "seats")
+        centers = save(seats.groupBy("bucket").agg(F.max(F.struct("degree", "rep", "hash", "load")).alias("c")), "centers")
+        seated = seats.join(centers, "bucket").where("rep != c.rep or hash != c.hash")
+        # a center's partners go in blocks: its degree and load are at least their number and bytes
+        blocks = F.greatest(F.ceil(F.col("c.degree") / (8 * BLOCK)), F.ceil(F.col("c.load") / BLOCK_BYTES))
+        edges = seated.where("rep != c.rep").select(F.col("c.rep").alias("a"), F.col("c.hash").alias("a_hash"), F.pmod(F.xxhash64("rep", "hash"), blocks).alias("block"), F.col("rep").alias("b"), F.col("hash").alias("b_hash")).distinct()
+        links = save(_confirm(save(edges, "edges"), table, shingle, percent).union(_of_keys(real, classes, save)), "links")
+        labels = components(links, save)
+        label = F.coalesce("label", "rep").alias("label")
+        open_seats = seated.select("bucket", "rep", "hash", "bytes").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "hash", "bytes", label)
+        cells = save(_left(_cells(save(open_seats, "open"), classes.select("rep", "hash", "n", "sketch", "buckets")), percent), "cells")
+        of_class = classes.select("hi", "lo", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", label)
+        if not cells.isEmpty():
+            joined = save(_finish(cells, table, shingle, percent), "joined")
+            if not joined.isEmpty():
+                far = components(joined, save).select(F.col("node").alias("label"), F.col("label").alias("far"))
+                of_class = of_class.join(far, "label", "left").select("hi", "lo", F.coalesce("far", "label").alias("label"))
+        found = real.select("key", "n", "hi", "lo").join(of_class, ["hi", "lo"]).select("key", "n", F.col("label").alias("component"))
+        alone = sketches.where("n = 0 or key is null").select("key", "n", F.col("key").alias("component"))
+        of_key = found.union(alone)
+        return written(of_key.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("key") == F.col("component"), F.lit(True)).alias("kept")), "components")

@@ -5,7 +5,11 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,21 +26,78 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read again from a table in the shared folder: nothing before it runs twice or is lost with an executor."""
-    path = f"{shared_dir(df.sparkSession)}/tidemark-{name}-{uuid.uuid4().hex}"
+def _write(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, read again from a table in the shared folder: nothing before it runs twice or is lost with an executor."""
+    return _write(df, f"{shared_dir(df.sparkSession)}/tidemark-{name}-{uuid.uuid4().hex}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """written() into a folder of its own, which goes when the block ends: what leaves the block must be written elsewhere."""
+    folder, count = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}", iter(range(1 << 30))
+    try:
+        yield lambda df, table: _write(df, f"{folder}/{next(count)}-{table}")
+    finally:
+        remove(spark, folder)
+
+
 def drop_tables(spark: SparkSession) -> None:
-    """Removes the folder that shared_dir made itself (never one that the cluster names)."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or ""
+    """Removes all tables that this subpackage left in the shared folder: call it when the results have been read."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        return
+    base = spark._jvm.org.apache.hadoop.fs.Path(found)
+    files = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    for x in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(base, "tidemark-*")) or []:
+        files.delete(x.getPath(), True)
     if found.startswith(tempfile.gettempdir() + "/tidemark-"):
         shutil.rmtree(found, ignore_errors=True)
         spark.conf.unset("spark.checkpoint.dir")
 
 
+def grouped(df: DataFrame, by: list[str], of_group: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
+    """of_group for each group of the bigint columns ``by``, none of them null.
+
+    The rows are dealt and sorted by ``by`` and cut in Python, so that small
+    groups cost no Arrow stream each; a worker holds one group and one batch.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last: tuple | None = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held and (out := of_group(pa.Table.from_batches(held).combine_chunks())) is not None:
+                yield from out.to_batches()
+
+        for b in parts:
+            if not len(b):
+                continue
+            keys = np.stack([b.column(c).to_numpy() for c in by])
+            starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), len(b)]
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                key = tuple(keys[:, lo].tolist())
+                if key != last:
+                    yield from done()
+                    held, last = [], key
+                # taken, not sliced: a slice would keep its whole batch in memory
+                held.append(b if hi - lo == len(b) else b.take(pa.array(np.arange(lo, hi))))
+        yield from done()
+
+    return df.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+
+
 def bucket_count(df: DataFrame, column: str, target_bytes: int, least: int = 1) -> int:
     """So many buckets hold about target_bytes of a column each. One pass over that column alone."""
     total = df.select(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
