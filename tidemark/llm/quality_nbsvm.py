@@ -109,9 +109,9 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.curve[0] * self.margin(found) + self.curve[1], -30, 30))))
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row's columns and ``score`` double, ``predicted`` int (1 if score >= 0.5). A column of these names is replaced."""
-    return scored(docs, lambda: _scorer(model), text)
+def score(docs: DataFrame, model: Model, text: str = "text", into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Every row's columns and, named by ``into``, the score (double) and 1 if it is >= 0.5, else 0 (int). Columns that docs has of these names are replaced: name others to keep them."""
+    return scored(docs, lambda: _scorer(model), text, into)
 
 
 def _scorer(model: Model):
@@ -119,19 +119,21 @@ def _scorer(model: Model):
     return lambda t: model.score(features(t, scratch))
 
 
-def scored(docs: DataFrame, make, text: str) -> DataFrame:
-    """docs with score and predicted; ``make()`` gives, in a worker, the function from a text's bytes to its score."""
-    docs = docs.drop("score", "predicted")
-    schema = docs.schema.simpleString()[len("struct<") : -1]
+def scored(docs: DataFrame, make, text: str, into: tuple[str, str]) -> DataFrame:
+    """docs with two columns more; ``make()`` gives, in a worker, the function from a text's bytes to its score."""
+    docs = docs.drop(*into).withColumn(text, F.col(text).cast("string"))
+    names = [f"c{k}" for k in range(len(docs.columns))]  # whatever the columns are called
+    at = names[docs.columns.index(text)]
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
-        for b in batches(parts, text, 4 << 20):
-            values = pa.array([one(t or b"") for t in b.column(text).cast(pa.large_binary()).to_pylist()], pa.float64())
+        for b in batches(parts, at, 4 << 20):
+            values = pa.array([one(t or b"") for t in b.column(at).cast(pa.large_binary()).to_pylist()], pa.float64())
             hit = pa.array((values.to_numpy() >= 0.5).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns, values, hit], [*b.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, values, hit], [*names, "score", "predicted"])
 
-    return docs.withColumn(text, F.col(text).cast("string")).mapInArrow(run, f"{schema}, score double, predicted int".lstrip(", "))
+    return docs.toDF(*names).mapInArrow(run, f"{schema}, score double, predicted int").toDF(*docs.columns, *into)
 
 
 def fit(docs: DataFrame, labels: DataFrame, trainable: F.Column, label: str = "quality", key: str = "doc_id", text: str = "text") -> Model:

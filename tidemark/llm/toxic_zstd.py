@@ -137,6 +137,6 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: F.Column, label: str = "t
     return model
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row's columns and ``score`` double, ``predicted`` int (1 if score >= 0.5). A column of these names is replaced."""
-    return scored(docs, model.scorer, text)
+def score(docs: DataFrame, model: Model, text: str = "text", into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Every row's columns and, named by ``into``, the score (double) and 1 if it is >= 0.5, else 0 (int). Columns that docs has of these names are replaced: name others to keep them."""
+    return scored(docs, model.scorer, text, into)
