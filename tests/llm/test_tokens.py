@@ -131,7 +131,7 @@ def test_repair_round_trip():
     for case in ([7] * 501, r.integers(0, 3, 3000), r.zipf(1.3, 5000) % 50, [1, 2] * 400):
         seq = np.asarray(case, np.int32)
         stops = np.unique(np.concatenate([[0], r.integers(1, len(seq), 20), [len(seq)]]))
-        rules, packed, places = repair_tokens.compress(seq, stops, 100, min_count=4, rounds=8)
+        rules, packed, places = repair_tokens.compress(seq, stops, 100, min_count=4, least_gain=0.0)
         assert len(packed) < len(seq) and len(rules)
         assert repair_tokens.expand(packed, rules, 100).tolist() == seq.tolist()
         size = repair_tokens.expansion_lengths(rules, 100)

@@ -2,14 +2,20 @@
 
 Rows are range-partitioned and sorted by key, so the files hold the documents
 in ascending order.  A file part ("blob") holds up to ``BLOB_IDS`` ids of
-consecutive documents.  In a blob the most frequent pairs of neighbouring
-symbols, which no document end separates, are replaced by new symbols, round
-after round, until no pair is frequent enough or the rounds are used up; pairs
-of one round that overlap are settled by their rank and the rest is left to the
-next round.  Stored are the rules, the length that each symbol expands to, the
+consecutive documents.  In a blob the frequent pairs of neighbouring symbols,
+which no document end separates, are replaced by new symbols, round after round,
+until no pair is frequent or a round hardly shortens the sequence; pairs of one
+round that overlap are settled by their rank and the rest is left to the next
+round.  Stored are the rules, the length that each symbol expands to, the
 sequence, and where each document begins in it, so one document is decoded
 without the others.
 
+Null and empty texts are the end id alone.  A text of any length is taken whole;
+one of more than ``BLOB_IDS`` ids is a blob of its own.  Repeated rows are
+separate documents; rows of one key lie in the order of their texts' hash, null
+keys first.  An empty table gives no files and no documents.  Columns other than
+the key and the text are not read, whatever their names.
+
 The blobs are written as Parquet in the shared folder (any file system that
 Spark reaches; a task that is retried leaves one copy) and all results are read
 from there.
@@ -32,24 +38,29 @@ from tidemark.llm.token_text import batches, encoder, give_back
 BLOB_IDS = 1 << 20
 
 
-def compress(seq: np.ndarray, stops: np.ndarray, first_symbol: int, min_count: int = 32, rounds: int = 4, rules_a_round: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rules m x 2, sequence, n + 1 places of the documents in it). stops: n + 1 places in seq; no document is empty."""
+def compress(seq: np.ndarray, stops: np.ndarray, first_symbol: int, min_count: int = 32, least_gain: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rules m x 2, sequence, n + 1 places of the documents in it). stops: n + 1 places in seq; no document is empty.
+
+    Every pair that occurs min_count times or more is replaced in a round; the
+    rounds end when there is none, or when a round shortened the sequence by less
+    than the share least_gain.
+    """
     seq = seq.astype(np.int32)
     last = np.zeros(len(seq), bool)
     last[stops[1:] - 1] = True
     rules: list[np.ndarray] = []
     symbol = first_symbol
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    length = np.inf
+    while 1 < len(seq) <= length * (1 - least_gain):
+        length = len(seq)
         # a pair cannot be more frequent than its hash is: most pairs need no sorting
         h = (seq[:-1].astype(np.uint32) * np.uint32(0x9E3779B1) + seq[1:].astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(14)
         counts = np.bincount(h, minlength=1 << 18)
         maybe = np.flatnonzero((counts >= min_count)[h] & ~last[:-1])
         key = seq[maybe].astype(np.int64) << 32 | seq[maybe + 1]
         pairs, where, n = np.unique(key, return_inverse=True, return_counts=True)
-        best = np.argsort(-n, kind="stable")[:rules_a_round]
-        best = best[n[best] >= min_count]
+        often = np.flatnonzero(n >= min_count)
+        best = often[np.argsort(-n[often], kind="stable")]
         if not len(best):
             break
         rank_of = np.full(len(pairs), len(best), np.int32)
@@ -98,7 +109,7 @@ def expand(seq: np.ndarray, rules: np.ndarray, first_symbol: int) -> np.ndarray:
         seq = out
 
 
-def write_files(docs: DataFrame, path: str, end_id: int = 2, key: str = "doc_id", text: str = "text", partition_bytes: int = 32 << 20) -> DataFrame:
+def write_files(docs: DataFrame, path: str, end_id: int = 2, key: str = "doc_id", text: str = "text", partition_bytes: int = 16 << 20) -> DataFrame:
     """Encodes every row (null text: empty), appends end_id, compresses, writes; the table of blobs, read again.
 
     Order: key ascending, null keys first, ties by the text's hash.
@@ -159,12 +170,14 @@ def write_files(docs: DataFrame, path: str, end_id: int = 2, key: str = "doc_id"
 
 def read_files(blobs: DataFrame, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """All documents of the files: key, start, n_tokens, ids_crc32, ids (binary, little-endian unsigned 32-bit; null if not with_ids)."""
-    # one row for each blob, so the running sum is over few small rows
-    order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    base = blobs.select("part", "number", "n_ids").withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).drop("n_ids")
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
+    # the blobs before one in its part, and the parts before that: one small row for each part in one task
+    inside = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = blobs.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    base = blobs.select("part", "number", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("base")).join(parts, "part").select("part", "number", (F.col("first") + F.col("base")).alias("base"))
+
+    def run(batch: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batch:
             for x in b.to_pylist():
                 rules = np.frombuffer(x["rules"], "<u4").astype(np.int32).reshape(-1, 2)
                 lengths = np.frombuffer(x["lengths"], "<u4").astype(np.int64)
@@ -173,11 +186,13 @@ def read_files(blobs: DataFrame, key: str = "doc_id", with_ids: bool = True) ->
                 size = np.ones(len(seq), np.int64)
                 size[big] = lengths[seq[big] - x["first_symbol"]]
                 edges = np.concatenate([[0], np.cumsum(size)])[places]
-                raw = memoryview(expand(seq, rules, x["first_symbol"]).astype("<u4").tobytes())
-                docs = [bytes(raw[4 * lo : 4 * hi]) for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+                raw = memoryview(expand(seq, rules, x["first_symbol"]).astype("<u4")).cast("B")
+                cuts = (4 * edges).tolist()
+                docs = [raw[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
                 n = len(docs)
+                ids = pa.array([bytes(d) for d in docs], pa.binary()) if with_ids else pa.nulls(n, pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x["keys"], pa.int64()), pa.array([x["part"]] * n, pa.int64()), pa.array([x["number"]] * n, pa.int64()), pa.array(edges[:-1], pa.int64()), pa.array(np.diff(edges), pa.int64()), pa.array([zlib.crc32(d) for d in docs], pa.int64()), pa.array(docs if with_ids else [None] * n, pa.binary())],
+                    [pa.array(x["keys"], pa.int64()), pa.array([x["part"]] * n, pa.int64()), pa.array([x["number"]] * n, pa.int64()), pa.array(edges[:-1], pa.int64()), pa.array(np.diff(edges), pa.int64()), pa.array([zlib.crc32(d) for d in docs], pa.int64()), ids],
                     ["key", "part", "number", "at", "n_tokens", "ids_crc32", "ids"],
                 )
 

@@ -48,7 +48,12 @@ def batches(columns: Iterator[pa.RecordBatch], text: str, most: int = BATCH_BYTE
 
 
 class LibraryWords:
-    """Encodes distinct, already split words with the tokenizers library's model of a vocabulary file."""
+    """Encodes distinct, already split words with the tokenizers library's model of a vocabulary file.
+
+    The ids of the last words are kept, ``MOST_KNOWN`` words at most, for the batches that follow.
+    """
+
+    MOST_KNOWN = 1 << 19
 
     def __init__(self, path: str) -> None:
         import os
@@ -64,9 +69,33 @@ class LibraryWords:
         vocab = whole.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(end)]] = True
-
-    def encode_words(self, words: pa.LargeStringArray, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-        """As Automaton.encode_words; the last id of a word, and no other, carries the word end."""
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.pool = pa.array([], pa.large_string()), np.empty(0, np.int32)
+        self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def encode_words(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """As Automaton.encode_words, for words that are all different."""
+        at = pc.index_in(words, value_set=self.known)
+        if len(self.known) + at.null_count > self.MOST_KNOWN:
+            self._forget()
+            at = pa.nulls(len(words), pa.int32())
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        place = at.fill_null(0).to_numpy().astype(np.int64)
+        if new.any():
+            fresh = words.filter(pa.array(new))
+            ids, stops = self._encode(fresh)
+            starts = np.concatenate([[0], stops[:-1]])
+            place[new] = len(self.known) + np.arange(len(fresh))
+            self.known = pa.concat_arrays([self.known, fresh])
+            self.first, self.size = np.concatenate([self.first, len(self.pool) + starts]), np.concatenate([self.size, stops - starts])
+            self.pool = np.concatenate([self.pool, ids])
+        size = self.size[place]
+        return _gather(self.pool, self.first[place], size), np.cumsum(size)
+
+    def _encode(self, words: pa.LargeStringArray, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+        """The last id of a word, and no other, carries the word end."""
         texts = words.to_pylist()
         found = self.model.encode_batch_fast([" ".join(texts[k : k + step]) for k in range(0, len(texts), step)], add_special_tokens=False)
         ids = np.concatenate([np.asarray(e.ids, np.int32) for e in found]) if found else np.empty(0, np.int32)
