@@ -6,10 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of each class that a classifier is fitted on, at most.
-PER_CLASS = 1500
-#: Texts of more bytes are left out of the sample (never out of the scoring), so the driver holds at most 2 * PER_CLASS times this.
-SAMPLE_TEXT_BYTES = 1 << 16
+#: Rows of each class that a classifier is fitted on, and bytes of their texts, at most.
+PER_CLASS, CLASS_BYTES = 1500, 64 << 20
 
 
 def fold(key: str, n: int) -> F.Column:
@@ -18,15 +16,31 @@ def fold(key: str, n: int) -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, trainable: F.Column, key: str = "doc_id", text: str = "text") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels (0 or 1) and a second hash of the keys: PER_CLASS rows of each class in the order of the keys' hash."""
+    """Texts, labels (0 or 1) and a second hash of the keys: PER_CLASS rows of each class in the order of the keys' hash.
+
+    The driver holds at most CLASS_BYTES of text of each class: rows are taken in
+    that order, whole, as long as they fit.  Of rows of one key the text with the
+    smallest hash is taken, so the sample is the same in every run.
+    """
     picked = None
     for y in (0, 1):
-        of = labels.where(trainable & (F.col(label) == y) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.lit(y).alias("y"))
-        of = of.orderBy(F.xxhash64("k", F.lit(7)), "k").limit(PER_CLASS)
+        of = labels.where(trainable & (F.col(label) == y) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.lit(y).alias("y"), F.xxhash64(F.col(key), F.lit(7)).alias("order")).distinct()
+        of = of.orderBy("order", "k").limit(PER_CLASS)
         picked = of if picked is None else picked.unionByName(of)
-    # at most 2 * PER_CLASS rows of two numbers
-    found = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(picked), "k").where(F.octet_length("t") <= SAMPLE_TEXT_BYTES)
-    rows = sorted(found.select("k", "t", "y", F.xxhash64("k", F.lit(8)).alias("h")).dropDuplicates(["k", "y"]).collect())
+    given = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("t is not null")
+    # at most 2 * PER_CLASS rows of a few numbers, here and in the next join
+    sized = given.join(F.broadcast(picked), "k").groupBy("k", "y", "order").agg(F.min(F.struct(F.xxhash64("t").alias("h"), F.octet_length("t").alias("size"))).alias("one"))
+    chosen, room = [], {0: CLASS_BYTES, 1: CLASS_BYTES}
+    for r in sorted(sized.select("k", "y", "order", "one.h", "one.size").collect(), key=lambda r: (r["order"], r["k"])):
+        if r["size"] <= room[r["y"]]:
+            room[r["y"]] -= r["size"]
+            chosen.append((r["k"], r["y"], r["h"]))
+    if not chosen:
+        return [], np.empty(0, np.int64), np.empty(0, np.int64)
+    kind = dict(given.dtypes)["k"]
+    wanted = docs.sparkSession.createDataFrame(chosen, f"k {kind}, y int, h bigint")
+    found = given.join(F.broadcast(wanted), "k").where(F.xxhash64("t") == F.col("h")).groupBy("k", "y").agg(F.first("t").alias("t"))
+    rows = sorted(found.select("k", "y", "t", F.xxhash64("k", F.lit(8)).alias("h")).collect(), key=lambda r: (r["k"], r["y"]))
     return [r["t"] for r in rows], np.array([r["y"] for r in rows], np.int64), np.array([r["h"] for r in rows], np.int64)
 
 

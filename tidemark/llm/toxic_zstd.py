@@ -1,19 +1,26 @@
 """Toxicity by compression distance: two zstandard dictionaries.
 
-The ordinary dictionary is trained on windows of ordinary texts.  The toxic one
-is that one and a list, not trained by zstandard: the words that too many of their
-texts are toxic for (an exact test of each, so that rare words and small
-languages count), the most certain last, where matches are cheapest.  Each window of a text (whole words, about ``WINDOW``
-bytes) is compressed with either; a window that is shorter by the toxic
-dictionary speaks for toxicity, and what both know cancels out.  The largest
-gains, their sum and their share of the windows go through a logistic curve,
-fitted on a third of the sample that the dictionaries have not seen, whose
-value 0.5 is the threshold.
-
-Fitted on at most ``labelled.PER_CLASS`` rows of each class; applied to every
-whole text where it lies, with no shuffle.  Null and empty texts have no
-windows and gain nothing.  Without training rows of both classes the score is
-the share of label 1, or 0.5 if there are none.  Repeated rows are scored alike.
+Both are trained by zstandard, one on windows of ordinary texts, one on windows
+of toxic texts, and compared by how long the windows of a text become with
+either.  Toxic texts are ordinary for the most part, and a dictionary trained on
+all their windows learns that part (the README has figures), so it is trained on
+the windows that set them apart: windows of one word that too many of their
+texts are toxic for, by an exact test of each word, so that rare words and small
+languages count.  What it holds is laid behind the ordinary one, so that what
+both know cancels out.  Each window of a text (whole words, about ``WINDOW``
+bytes) is compressed with either; one that is shorter by the toxic dictionary
+speaks for toxicity.  The largest gains, their sum and their share of the windows
+go through a logistic curve, fitted on a third of the sample that the
+dictionaries have not seen, whose value 0.5 is the threshold.
+
+Fitted on at most ``labelled.PER_CLASS`` rows and ``labelled.CLASS_BYTES`` bytes
+of each class, all windows of them; applied to every whole text, of any length,
+where it lies, with no shuffle.  Null and empty texts have no windows and gain
+nothing.  Null keys never train.  Without training rows of both classes the score
+is the share of label 1, or 0.5 if there are none.  Repeated rows are scored
+alike, and so are ties; a score of exactly 0.5 is predicted 1.  An empty table
+gives an empty table.  Other columns are handed on unread; see ``score`` for
+names that clash.
 """
 
 from __future__ import annotations
@@ -32,6 +39,8 @@ from tidemark.llm.quality_nbsvm import scored
 WINDOW = 24
 LEVEL = 3
 LEAST_GAIN = 3
+#: What the trainer builds the toxic dictionary from: segments of so many bytes, scored by runs of so many.
+SEGMENT, RUN = 16, 8
 _CUT = re.compile(rb"\S.{%d,}?(?=\s)|\S.*" % (WINDOW - 2), re.S)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -42,14 +51,19 @@ def windows(text: bytes) -> list[bytes]:
     return [b" " + w.strip() + b" " for w in _CUT.findall(flat + b" ")]
 
 
-def content(samples: list[bytes], size: int) -> bytes:
-    """What a dictionary trained on the samples holds; few samples are the dictionary themselves."""
+def content(samples: list[bytes], size: int, **how: int) -> bytes:
+    """What a dictionary trained on the samples holds, without the trainer's tables; few samples are the dictionary themselves."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()[-(size - 1024) :]
+        return zstandard.train_dictionary(size + 1024, samples, **how).as_bytes()[-size:]
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
 
+def telling(text: str, words: set[str]) -> bytes:
+    """The windows of one word, of a text in lower case, that hold one of the words; the trainer takes them as one sample."""
+    return b"".join(f" {w} ".encode() for w in text.lower().split() if not words.isdisjoint(_WORD.findall(w)))
+
+
 def distinct_words(text: str) -> set[str]:
     return {*_WORD.findall(text.lower())}
 
@@ -85,7 +99,7 @@ def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 class Model:
     """ordinary, toxic: the dictionaries; the rest is the curve."""
 
-    def __init__(self, texts: list[str], y: np.ndarray, h: np.ndarray, size: int = 32768, level: float = 0.05) -> None:
+    def __init__(self, texts: list[str], y: np.ndarray, h: np.ndarray, size: int = 31744, toxic_size: int = 8192, level: float = 0.05) -> None:
         share = float(y.mean()) if len(y) else 0.5
         self.ordinary = self.toxic = b""
         self.curve = np.zeros(9)
@@ -96,14 +110,9 @@ class Model:
             return
         plain = [t for t, a, b in zip(texts, y, seen, strict=True) if b and not a]
         bad = [t for t, a, b in zip(texts, y, seen, strict=True) if b and a]
-        samples: list[bytes] = []
-        for t in plain:  # as much as the trainer makes use of
-            samples += windows(t.encode())
-            if len(samples) > 200_000:
-                break
-        self.ordinary = content(samples, size)
-        ranked = overrepresented([distinct_words(t) for t in plain], [distinct_words(t) for t in bad], level)
-        self.toxic = self.ordinary + b"".join(f" {w} ".encode() for w in ranked)[-size // 4 :]
+        self.ordinary = content([w for t in plain for w in windows(t.encode())], size)
+        words = {*overrepresented([distinct_words(t) for t in plain], [distinct_words(t) for t in bad], level)}
+        self.toxic = self.ordinary + content([w for t in bad if (w := telling(t, words))], toxic_size, k=SEGMENT, d=RUN)
         calibrate = np.flatnonzero(~seen)
         gains = self.gains()
         x = np.array([gains(texts[k].encode()) for k in calibrate])
