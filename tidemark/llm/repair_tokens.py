@@ -97,16 +97,40 @@ def expansion_lengths(rules: np.ndarray, first_symbol: int) -> np.ndarray:
 
 def expand(seq: np.ndarray, rules: np.ndarray, first_symbol: int) -> np.ndarray:
     """The ids of a sequence or of any part of it."""
-    while True:
-        big = seq >= first_symbol
-        if not big.any():
-            return seq
-        size = 1 + big.astype(np.int64)
-        at = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.int32)
-        out[at] = np.where(big, rules[np.where(big, seq - first_symbol, 0), 0] if len(rules) else seq, seq)
-        out[at[big] + 1] = rules[seq[big] - first_symbol, 1]
-        seq = out
+    used = seq >= first_symbol
+    if not used.any():
+        return seq
+    # what each rule stands for, one after another: those of a step are made of those of the steps before
+    size = expansion_lengths(rules, first_symbol)
+    first = np.cumsum(size) - size
+    pool = np.empty(int(size.sum()), np.int32)
+    done = np.zeros(len(rules), bool)
+    while not done.all():
+        inner = rules - first_symbol
+        ready = np.flatnonzero(~done & ((inner < 0) | done[np.maximum(inner, 0)]).all(axis=1))
+        at = first[ready].copy()
+        for part in (0, 1):
+            child = inner[ready, part]
+            plain = child < 0
+            pool[at[plain]] = rules[ready[plain], part]
+            made, n = child[~plain], size[np.maximum(child, 0)] * ~plain
+            pool[_spread(at[~plain], size[made])] = pool[_spread(first[made], size[made])]
+            at += np.maximum(n, 1)
+        done[ready] = True
+    length = np.ones(len(seq), np.int64)
+    length[used] = size[seq[used] - first_symbol]
+    at = np.cumsum(length) - length
+    out = np.empty(int(length.sum()), np.int32)
+    out[at[~used]] = seq[~used]
+    made = seq[used] - first_symbol
+    out[_spread(at[used], size[made])] = pool[_spread(first[made], size[made])]
+    return out
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... size[i] of them, for all i."""
+    stops = np.cumsum(size)
+    return np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(first - (stops - size), size)
 
 
 def write_files(docs: DataFrame, path: str, end_id: int = 2, key: str = "doc_id", text: str = "text", partition_bytes: int = 16 << 20) -> DataFrame:

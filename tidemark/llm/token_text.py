@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -47,13 +47,37 @@ def batches(columns: Iterator[pa.RecordBatch], text: str, most: int = BATCH_BYTE
             give_back()
 
 
-class LibraryWords:
-    """Encodes distinct, already split words with the tokenizers library's model of a vocabulary file.
+class Known:
+    """Ids of strings seen before: a pool, and where in it each string's ids lie. At most ``most`` strings are kept."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.strings, self.pool = pa.array([], pa.large_string()), np.empty(0, np.int32)
+        self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def places(self, strings: pa.LargeStringArray, encode: Callable[[pa.LargeStringArray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Where strings, all different, are among the known ones; ``encode`` gives pool, first and size of those that are new."""
+        at = pc.index_in(strings, value_set=self.strings)
+        if len(self.strings) + at.null_count > self.most:
+            self._forget()
+            at = pa.nulls(len(strings), pa.int32())
+        place = at.fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            fresh = strings.take(pa.array(new))
+            pool, first, size = encode(fresh)
+            place[new] = len(self.strings) + np.arange(len(new))
+            self.strings = pa.concat_arrays([self.strings, fresh])
+            self.first, self.size = np.concatenate([self.first, len(self.pool) + first]), np.concatenate([self.size, size])
+            self.pool = np.concatenate([self.pool, pool])
+        return place
 
-    The ids of the last words are kept, ``MOST_KNOWN`` words at most, for the batches that follow.
-    """
 
-    MOST_KNOWN = 1 << 19
+class LibraryWords:
+    """Encodes distinct, already split words with the tokenizers library's model of a vocabulary file."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -69,33 +93,9 @@ class LibraryWords:
         vocab = whole.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(end)]] = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known, self.pool = pa.array([], pa.large_string()), np.empty(0, np.int32)
-        self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def encode_words(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
-        """As Automaton.encode_words, for words that are all different."""
-        at = pc.index_in(words, value_set=self.known)
-        if len(self.known) + at.null_count > self.MOST_KNOWN:
-            self._forget()
-            at = pa.nulls(len(words), pa.int32())
-        new = at.is_null().to_numpy(zero_copy_only=False)
-        place = at.fill_null(0).to_numpy().astype(np.int64)
-        if new.any():
-            fresh = words.filter(pa.array(new))
-            ids, stops = self._encode(fresh)
-            starts = np.concatenate([[0], stops[:-1]])
-            place[new] = len(self.known) + np.arange(len(fresh))
-            self.known = pa.concat_arrays([self.known, fresh])
-            self.first, self.size = np.concatenate([self.first, len(self.pool) + starts]), np.concatenate([self.size, stops - starts])
-            self.pool = np.concatenate([self.pool, ids])
-        size = self.size[place]
-        return _gather(self.pool, self.first[place], size), np.cumsum(size)
-
-    def _encode(self, words: pa.LargeStringArray, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-        """The last id of a word, and no other, carries the word end."""
+    def encode_words(self, words: pa.LargeStringArray, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+        """As Automaton.encode_words; the last id of a word, and no other, carries the word end."""
         texts = words.to_pylist()
         found = self.model.encode_batch_fast([" ".join(texts[k : k + step]) for k in range(0, len(texts), step)], add_special_tokens=False)
         ids = np.concatenate([np.asarray(e.ids, np.int32) for e in found]) if found else np.empty(0, np.int32)
@@ -120,6 +120,8 @@ class TextEncoder:
         import regex
 
         self.with_breaks = regex.compile(r"\n|" + self.marked)
+        # ids of the last pieces and words are kept for the batches that follow
+        self.known_chunks, self.known_words = Known(1 << 20), Known(1 << 19)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and n + 1 places where they begin and end. Null: no ids."""
@@ -129,11 +131,12 @@ class TextEncoder:
         flat = pieces.flatten()
         codes = flat.dictionary_encode()
         chunk_of = codes.indices.to_numpy()
-        pool, first, size = self._chunks(codes.dictionary)
         if not len(chunk_of):
             return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        counts = size[chunk_of]
-        ids = _gather(pool, first[chunk_of], counts)
+        known = self.known_chunks
+        place = known.places(codes.dictionary.cast(pa.large_string()), self._chunks)[chunk_of]
+        counts = known.size[place]
+        ids = _gather(known.pool, known.first[place], counts)
         edges = np.concatenate([[0], np.cumsum(counts)])
         return ids, edges[offsets - offsets[0]]
 
@@ -172,10 +175,10 @@ class TextEncoder:
         distinct = codes.dictionary
         word_of = codes.indices.to_numpy().astype(np.int64)
         real = np.flatnonzero(pc.greater(pc.binary_length(distinct), 0).to_numpy(zero_copy_only=False))
-        ids, stops = self.words.encode_words(pa.concat_arrays([distinct.take(pa.array(real)).cast(pa.large_string())]))
-        starts = np.concatenate([[0], stops[:-1]]) if len(stops) else np.empty(0, np.int64)
-        first, size = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-        first[real], size[real] = starts, stops - starts
+        known = self.known_words
+        at = known.places(pa.concat_arrays([distinct.take(pa.array(real)).cast(pa.large_string())]), self._words)
+        ids, first, size = known.pool, np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        first[real], size[real] = known.first[at], known.size[at]
         word_first, word_size = first[word_of], size[word_of]
         if special:
             place = np.array([p for p, _ in special])
@@ -192,6 +195,12 @@ class TextEncoder:
         return pool, chunk_first, chunk_size
 
 
+    def _words(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, stops = self.words.encode_words(words)
+        first = np.concatenate([[0], stops[:-1]]) if len(stops) else np.empty(0, np.int64)
+        return ids, first, stops - first
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, library: bool) -> TextEncoder:
     """One in each Python worker."""
