@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann_srs, labelled, minhash_oph, quality_nbsvm, shard_shuffle, syncmers, token_text, toxic_zstd, warc_revisit
+from tidemark.llm import ann_srs, labelled, minhash_oph, quality_nbsvm, shard_shuffle, shared, syncmers, token_text, toxic_zstd, warc_revisit
 
 WORDS = [a + b for a in ("er", "th", "an", "on", "in", "ti", "ed", "st") for b in ("ha", "re", "ou", "ly", "nd", "", "sh", "ble")]
 
@@ -202,12 +202,14 @@ def test_fold(spark):
 
 
 def brute_anchors(words, hash_of, k=syncmers.K, s=syncmers.S):
-    out = []
+    """(run of words, words since the anchor before)."""
+    out, last = [], 0
     for i in range(len(words) - k + 1):
         inner = [hash_of[tuple(words[i + j : i + j + s])] for j in range(k - s + 1)]
         if min(inner) in (inner[0], inner[-1]):
-            out.append(tuple(words[i : i + k]))
-    return out
+            out.append((tuple(words[i : i + k]), i - last))
+            last = i
+    return out or ([(tuple(words), 0)] if words else [])
 
 
 def test_syncmers(spark):
@@ -218,11 +220,13 @@ def test_syncmers(spark):
     pairs = {tuple(x["w"][i : i + 2]) for x in got.values() for i in range(len(x["w"]) - 1)}
     hashed = spark.createDataFrame([(list(p),) for p in pairs], "p array<string>").select("p", F.xxhash64(F.xxhash64(F.col("p")[0]), F.xxhash64(F.col("p")[1])).alias("h")).collect()
     hash_of = {tuple(x["p"]): x["h"] for x in hashed}
+    names = {}
     for x in got.values():
         want = brute_anchors(x["w"], hash_of)
-        n = len(x["w"])
-        assert len(x["a"]) == (len(want) if n >= syncmers.K else min(n, 1))
-        assert len(set(x["a"])) == (len(set(want)) if n >= syncmers.K else min(n, 1))
+        assert [a & ((1 << syncmers.DISTANCE) - 1) for a in x["a"]] == [far for _, far in want]
+        assert [names.setdefault(run, a >> syncmers.DISTANCE) for (run, _), a in zip(want, x["a"], strict=True)] == [a >> syncmers.DISTANCE for a in x["a"]]
+        assert all(0 < far <= syncmers.K - syncmers.S for _, far in want[1:])
+    assert len(set(names.values())) == len(names)
     assert "".join(got[7]["w"]) == texts[7] and len(got[7]["w"]) == 40
 
 
@@ -252,6 +256,31 @@ def test_next_document(spark):
     assert Counter(r["next_text"] for r in syncmers.with_next(ties).collect()) == Counter(["n", "a", "a", "b"])
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_next_document_of_hot_keys(spark, seed):
+    """Null and repeated keys with the rows of many ranges, with equal and different texts."""
+    r = random.Random(seed)
+    data = [(r.choice([None, 7, 7, 7, 8, r.randrange(100)]), r.choice(["same text", "x", None, prose(r, 20), prose(r, 200)])) for _ in range(400)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    hashes = {x["text"]: x["h"] for x in df.select(F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("h", F.xxhash64("text")).collect()}
+    order = sorted(((k, t or "") for k, t in data), key=lambda x: (x[0] is not None, x[0] or 0, hashes[x[1]]))
+    want = Counter((k, t, order[(i + 1) % len(order)][1]) for i, (k, t) in enumerate(order))
+    rows = syncmers.with_next(df, range_bytes=2000)
+    assert Counter((x["doc_id"], x["text"], x["next_text"]) for x in rows.collect()) == want
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40, 2000])
+def test_ranges_ascend(spark, parts):
+    r = random.Random(parts)
+    rows = [(r.choice([None, 5, 5, r.randrange(50), r.randrange(10_000)]), r.randrange(1 << 40)) for _ in range(3000)]
+    df, split = shared.ranged(spark.createDataFrame(rows, "key long, tie long").repartition(3), "key", "tie", parts, "range")
+    got = sorted(((x["key"] is not None, x["key"] or 0, x["tie"], x["range"]) for x in df.collect()))
+    assert len(got) == 3000 and [x[3] for x in got] == sorted(x[3] for x in got)
+    assert split == (parts > 3)
+    if parts > 1:
+        assert max(Counter(x[3] for x in got).values()) < 4 * 3000 / parts + 30
+
+
 def test_likeness(spark):
     a = prose(random.Random(1), 60)
     b = a[:120] + " other words " + a[120:]
@@ -325,3 +354,31 @@ def test_revisits(spark, span_rows):
     assert warc_revisit.resolve(df.limit(0)).count() == 0
 
 
+def test_revisits_with_odd_headers_and_ids(spark):
+    """Names that differ in case, null headers, repeated ids at other times, equal rows, a hot time."""
+    schema = "record_id long, ts long, url string, kind string, etag string, last_modified string, digest string, headers map<string,string>, canonical int, span string"
+    rows = [
+        (1, 1, "http://a/", "response", "x", None, None, {"Date": "one", "date": "two", "X": "1"}, 0, ""),
+        (2, 2, "HTTP://A", "revisit", "x", None, None, {"x": "3", "X": "2"}, 0, ""),
+        (2, 3, "http://b/", "revisit", "x", None, None, None, 0, ""),
+        (2, 2, "HTTP://A", "revisit", "x", None, None, {"x": "3", "X": "2"}, 0, ""),
+        (3, None, "http://a/", "revisit", "x", None, None, None, 0, ""),
+        (4, 4, "http://a/", "other", "x", None, None, None, 0, ""),
+        (5, 5, "http://c/", "response", "z", None, None, None, 0, ""),
+        (5, 5, "http://c/", "response", "y", None, None, {"B": "c"}, 0, ""),
+        (6, 6, "http://c/", "revisit", 'W/y', None, None, None, 0, ""),
+        (6, 5, "http://c/", "revisit", "y", None, None, None, 0, ""),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = sorted(((x["record_id"], x["canonical"], x["status"], x["refers_to"], tuple(sorted((x["headers"] or {}).items()))) for x in warc_revisit.resolve(df).collect()), key=repr)
+    one = (2, "http://a/", "resolved", 1, (("date", "one"), ("x", "2")))
+    want = [
+        (1, "http://a/", "response", None, (("Date", "one"), ("X", "1"), ("date", "two"))), one, one, (2, "http://b/", "unresolved", None, ()), (3, "http://a/", "unresolved", None, ()), (4, "http://a/", "unresolved", None, ()),
+        (5, "http://c/", "response", None, ()), (5, "http://c/", "response", None, (("B", "c"),)), (6, "http://c/", "resolved", 5, (("b", "c"),)), (6, "http://c/", "resolved", 5, (("b", "c"),)),
+    ]
+    assert got == sorted(want, key=repr)
+    # one URL and one time for all records: cut by record id
+    hot = [(i, 9, "http://h/", "response" if i % 7 == 0 else "revisit", str(i // 7) if i % 3 or i % 7 == 0 else "no", None, None, None, 0, "") for i in range(300)]
+    out = {x["record_id"]: (x["status"], x["refers_to"]) for x in warc_revisit.resolve(spark.createDataFrame(hot, schema), span_rows=20).collect()}
+    for i, _, _, kind, *_ in hot:
+        assert out[i] == (("response", None) if kind == "response" else ("resolved", i // 7 * 7) if i % 3 else ("mismatch", None))

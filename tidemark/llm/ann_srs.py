@@ -5,22 +5,29 @@ vectors at distance d, (projected distance / d)^2 is chi-square with m degrees
 of freedom.  So once the next projected neighbour is at p and the k-th best
 distance found is d, a better neighbour still ahead is missed with probability
 at most ``1 - sure`` if p^2 / d^2 >= the ``sure`` quantile: that is the
-stopping test.  There is no cap on the neighbours that are verified.
+stopping test.  There is no cap on the neighbours that are verified.  ``sure`` is
+the smallest value that finds the share ``recall`` of the true neighbours within
+the sample below, and never less than ``LEAST_SURE``.
 
 The projected points are indexed by a kd-tree.  Its upper levels are fitted on
 at most ``SAMPLE`` rows and cut space into cells; every row goes to its cell,
 a cell with many rows (equal vectors, say) is dealt over blocks, and a block
-builds the lower levels, with leaves of ``LEAF`` points.  Leaves are verified
-in the order of their projected distance, on the original vectors, in double
-precision.
+builds the lower levels, with leaves of ``LEAF`` points.  Leaves out of reach are
+left out by their boxes, and the points of the others are verified one after
+another in the order of their projected distance, on the original vectors, in
+double precision, until the test holds.
 
 Round one searches each query's own cell and gives it a bound.  Round two goes
 to all cells that the stopping test with that bound does not rule out.  A block
 meets at most ``QUERIES`` queries at a time.
 
-Vectors that are null, of another length than the first, zero, or hold null or
-non-finite components take no part.  Rows with the query's own id are not its
-candidates.  Ties go to the smaller id.
+Vectors that are null, zero, of another length than most of the sample, or hold
+null or non-finite components take no part, nor do null ids.  Rows with the
+query's own id are not its candidates; of a repeated id that asks, the vector
+with the smallest hash asks.  Ties go to the smaller id.  With fewer candidates
+than k all are returned.  An empty table gives an empty table.  Columns other
+than the id, the vector and those of ``is_query`` are not read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -36,6 +43,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import written
 
 SAMPLE, LEAF, CELL_ROWS, BLOCK_ROWS, QUERIES, MOST_CELLS = 16384, 32, 1024, 2048, 1024, 2048
+#: Sample rows that ask when ``sure`` is fitted, and the least ``sure``.
+ASKING, LEAST_SURE = 200, 0.9
+#: Points that are verified between two looks at the stopping test, at first.
+STEP = 32
 #: Projections of equal vectors may differ by rounding; relative to the squared length.
 SLACK = 1e-9
 
@@ -61,6 +72,26 @@ def chi_square_quantile(p: float, m: int) -> float:
     return hi
 
 
+def fit_sure(sample: np.ndarray, directions: np.ndarray, k: int, recall: float) -> float:
+    """The chi-square probability whose quantile, as stopping test, keeps the share ``recall`` of the sample's own neighbours."""
+    asks, points = sample[:ASKING], sample @ directions
+    m = directions.shape[1]
+    if len(sample) <= k + 1:
+        return LEAST_SURE
+    ratio = []
+    for i, q in enumerate(asks):
+        d = ((sample - q) ** 2).sum(axis=1)
+        d[i] = np.inf
+        near = np.argpartition(d, k)[:k]
+        ratio.append(((points[near] - points[i]) ** 2).sum(axis=1) / max(d[near].max(), 1e-300))
+    stop = float(np.quantile(np.concatenate(ratio), recall))
+    lo, hi = LEAST_SURE, 1 - 1e-9
+    for _ in range(40):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if chi_square_quantile(mid, m) < stop else (lo, mid)
+    return hi
+
+
 class Cells:
     """The kd-tree's upper levels: splits (axis, value) as a heap, and each cell's box."""
 
@@ -109,22 +140,23 @@ class Leaves:
             axis = int(np.argmax(points[rows].max(0) - points[rows].min(0)))
             order = np.argpartition(points[rows, axis], len(rows) // 2)
             todo += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
-        self.rows = parts
+        self.leaf = np.empty(len(points), np.int64)
+        for number, rows in enumerate(parts):
+            self.leaf[rows] = number
         self.low = np.array([points[r].min(0) for r in parts])
         self.high = np.array([points[r].max(0) for r in parts])
 
-    def order(self, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def near(self, point: np.ndarray) -> np.ndarray:
+        """Squared distance of a point from the box of each point's leaf."""
         gap = np.maximum(0, np.maximum(self.low - point, point - self.high))
-        far = (gap * gap).sum(axis=1)
-        by = np.argsort(far, kind="stable")
-        return by, far[by]
+        return (gap * gap).sum(axis=1)[self.leaf]
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(x, np.float64) for x in column]) if len(column) else np.zeros((0, 1))
 
 
-def search(table: DataFrame, is_query: F.Column, k: int = 10, m: int = 10, sure: float = 0.98, seed: int = 3, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(table: DataFrame, is_query: F.Column, k: int = 10, m: int = 32, recall: float = 0.95, seed: int = 3, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), key, score (Euclidean distance) of each query's k nearest found."""
     v = F.col(vector)
     base = table.select(F.col(key).cast("bigint").alias("id"), v.cast("array<double>").alias("v"), is_query.alias("asks")).where("id is not null and v is not null and size(v) > 0")
@@ -140,7 +172,7 @@ def search(table: DataFrame, is_query: F.Column, k: int = 10, m: int = 10, sure:
     directions = np.random.default_rng(seed).standard_normal((d, m))
     sample = np.stack([np.asarray(x, np.float64) for x in some if len(x) == d])
     cells = Cells(sample @ directions, min(MOST_CELLS, -(-count // CELL_ROWS)))
-    stop = chi_square_quantile(sure, m)
+    stop = chi_square_quantile(fit_sure(sample, directions, k, recall), m)
 
     def place(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -166,18 +198,18 @@ def search(table: DataFrame, is_query: F.Column, k: int = 10, m: int = 10, sure:
             if len(points) and len(queries):
                 x, ids = _matrix(points["v"]), points["id"].to_numpy()
                 p = x @ directions
-                tree = Leaves(p)
-                for query, q, bound in zip(queries["query_id"], queries["q"], queries["bound"], strict=True):
-                    q = np.asarray(q, np.float64)
-                    at = q @ directions
-                    by, far = tree.order(at)
+                tree, length = Leaves(p), (p * p).sum(axis=1)
+                asked = _matrix(queries["q"])
+                for query, q, at, bound in zip(queries["query_id"], asked, asked @ directions, queries["bound"], strict=True):
                     slack = SLACK * (1 + at @ at)
                     best, names, limit = np.empty(0), np.empty(0, np.int64), bound * bound
-                    for leaf, gap in zip(by, far, strict=True):
-                        if gap > limit * stop + slack:
-                            break
-                        r = tree.rows[leaf]
-                        r = r[ids[r] != query]
+                    far = np.maximum(0, length - 2 * (p @ at) + at @ at)
+                    order = np.flatnonzero((ids != query) & (far <= limit * stop + slack) & (tree.near(at) <= limit * stop + slack))
+                    order = order[np.argsort(far[order], kind="stable")]
+                    done, step = 0, STEP
+                    while done < len(order) and far[order[done]] <= limit * stop + slack:
+                        r = order[done : done + step]
+                        done, step = done + step, 2 * step
                         diff = x[r] - q
                         best = np.concatenate([best, (diff * diff).sum(axis=1)])
                         names = np.concatenate([names, ids[r]])
@@ -191,7 +223,7 @@ def search(table: DataFrame, is_query: F.Column, k: int = 10, m: int = 10, sure:
 
         return left.groupBy("cell", "block", "turn").cogroup(right.groupBy("cell", "block", "turn")).applyInPandas(meet, "query_id bigint, id bigint, score double")
 
-    queries = placed.where("asks").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "cell").dropDuplicates(["query_id"])
+    queries = placed.where("asks").groupBy(F.col("id").alias("query_id")).agg(F.min(F.struct(F.xxhash64("v").alias("h"), F.col("v").alias("q"), "cell")).alias("one")).select("query_id", "one.q", "one.cell")
     first = written(visit(queries.withColumn("bound", F.lit(float("inf")))), "first")
     # of the candidates of a query in its own cell, at most k for each block
     ranked = Window.partitionBy("query_id").orderBy("score", "id")

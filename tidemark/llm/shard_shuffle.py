@@ -9,9 +9,15 @@ number, and writes it.  A row's slot is its bucket's first slot plus its place,
 worked out from the counts of the written buckets.
 
 The files (Parquet, a folder for each shard) are in the shared folder; a
-retried task writes the same rows.  The bucket hash takes in the number of the
-input partition, so equal rows of any number spread over all buckets of their
-shard.  Null keys go to one shard like any other key; a null text has size 8.
+retried task writes the same rows.  All hashes are of a row's own values and, for
+equal rows of many bytes, the number of the copy, so such rows spread over the
+buckets of their shard, and the result does not depend on how the input lies.
+
+Null keys go to one shard like any other key; a null text has size 8 and an empty
+one too.  Texts of any length are taken whole; one longer than ``bucket_bytes``
+makes its bucket larger.  Equal rows are separate records.  An empty table gives
+empty files.  Columns other than the key and the text are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import bucket_count, shared_dir
+from tidemark.llm.shared import bucket_count, shared_dir, written
 
 
 def shard_of(key: str, shards: int, seed: int) -> F.Column:
@@ -36,14 +42,28 @@ def shard_of(key: str, shards: int, seed: int) -> F.Column:
 
 def shuffle_shards(docs: DataFrame, shards: int, seed: int = 1, bucket_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text, size, text_crc32, shard, slot, grown_shard of every row, read from the files written."""
-    table = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    table = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
     per_shard = -(-bucket_count(table, "text", bucket_bytes) // shards)
+    # equal rows of more than a bucket's share are counted and numbered, so that their copies spread
+    weight = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)
+    many = table.groupBy("key", "hash").agg(F.count("*").alias("copies"), weight.alias("weight")).where((F.col("weight") > bucket_bytes // 4) & (F.col("copies") > 1)).drop("weight")
+    table = table.withColumn("copy", F.lit(0).cast("bigint"))
+    if per_shard > 1 and not many.isEmpty():
+        many = written(many, "copies")
+        same = F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h"))
+        of = many.select(F.col("key").alias("k"), F.col("hash").alias("h"))
+        one = table.join(of, same, "left_semi").groupBy("key", "hash").agg(F.first("text").alias("text")).join(many.select(F.col("key").alias("k"), F.col("hash").alias("h"), "copies"), same)
+        spread = one.select("key", "text", "hash", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy"))
+        table = table.join(of, same, "left_anti").unionByName(spread)
     dealt = table.select(
-        "*",
+        "key",
+        "text",
         shard_of("key", shards, seed).alias("shard"),
         shard_of("key", shards + 1, seed).alias("grown_shard"),
-        F.pmod(F.xxhash64("key", F.spark_partition_id(), F.lit(seed)), F.lit(per_shard)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64("key", "hash", "copy", F.lit(seed)), F.lit(per_shard)).cast("int").alias("bucket"),
     )
+    if per_shard > 1:
+        dealt = dealt.repartition(per_shard * shards, "shard", "bucket")
 
     def one_bucket(b: pa.Table) -> pa.Table:
         raw = b.column("text").cast(pa.large_binary()).to_pylist()

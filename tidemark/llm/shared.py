@@ -5,6 +5,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -12,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -98,17 +98,50 @@ def grouped(df: DataFrame, by: list[str], of_group: Callable[[pa.Table], pa.Tabl
     return df.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
 
 
-def bucket_count(df: DataFrame, column: str, target_bytes: int, least: int = 1) -> int:
-    """So many buckets hold about target_bytes of a column each. One pass over that column alone."""
-    total = df.select(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
-    return max(least, -(-int(total) // target_bytes))
+#: Cut points of one level, at most: they are literals of a plan, or a row of a small table.
+MOST_CUTS = 512
+
 
+def ranged(df: DataFrame, key: str, tie: str, parts: int, name: str) -> tuple[DataFrame, bool]:
+    """df and ``name``, a bigint that ascends with (key, tie), null keys first, with about ``parts`` values; and whether a key was cut by tie.
 
-def slots(spark: SparkSession, least: int = 1) -> int:
-    """Partitions for a small table's shuffle: what the session asks for."""
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    key and tie are numbers.  The first level cuts at quantiles of key; a key that
+    holds several quantiles, and null, is a range of its own.  The second level cuts
+    ranges that are still too large at their own quantiles: those of tie where all
+    keys are equal, else those of key.  Rows that are equal in both stay together.
+    """
+    if parts < 2:
+        return df.withColumn(name, F.lit(0).cast("bigint")), False
+    n = min(parts, MOST_CUTS)
+    quantiles = lambda c, n: F.percentile_approx(c, [k / n for k in range(1, n)], 10 * n)
+    seen = Counter(df.select(quantiles(key, n).alias("q")).first()["q"] or [])
+    hot = [c for c, times in seen.items() if times > 1]
+    below = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(seen)]), lambda c: c < F.col(key))) if seen else F.lit(0)
+    own = F.col(key).isin(*hot) if hot else F.lit(False)
+    level = F.when(F.col(key).isNull(), 0).otherwise(1 + 2 * below + own.cast("int"))
+    cut = df.withColumn("_level", level.cast("bigint")).withColumn("_by", F.when(F.col(key).isNull() | own, F.col(tie)).otherwise(F.col(key)))
+    # at most 2 * MOST_CUTS + 1 rows here and in the next table
+    sizes = {r["_level"]: r["n"] for r in cut.groupBy("_level").agg(F.count("*").alias("n")).collect()}
+    total = sum(sizes.values())
+    need = {k: min(MOST_CUTS, x) for k, v in sizes.items() if (x := v * parts // total) > 1}
+    place = F.lit(0).cast("bigint")
+    if need:
+        most = max(need.values())
+        rows = cut.where(F.col("_level").isin(*need)).groupBy("_level").agg(quantiles("_by", most).alias("q")).collect()
+        cuts = [(r["_level"], sorted({r["q"][j * most // need[r["_level"]] - 1] for j in range(1, need[r["_level"]])})) for r in rows]
+        cut = cut.join(F.broadcast(df.sparkSession.createDataFrame(cuts, "_level bigint, _cuts array<bigint>")), "_level", "left")
+        place = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_by"))), F.lit(0)).cast("bigint")
+        place = F.when(F.col("_cuts").isNull(), 0).otherwise(place)
+    split = any(k == 0 or (k - 1) % 2 for k in need)
+    return cut.withColumn(name, F.shiftleft("_level", 20) + place).drop("_level", "_by", "_cuts"), split
+
+
+def bound(value: F.Column, use: Callable[[F.Column], F.Column]) -> F.Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def only(df: DataFrame, *columns: str) -> DataFrame:
-    """These columns; those that a table lacks are null strings."""
-    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(T.StringType()).alias(c) for c in columns])
+def bucket_count(df: DataFrame, column: str, target_bytes: int, least: int = 1) -> int:
+    """So many buckets hold about target_bytes of a column each. One pass over that column alone."""
+    total = df.select(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
+    return max(least, -(-int(total) // target_bytes))
