@@ -111,6 +111,41 @@ def test_producers_batch_and_stream_agree(spark, tmp_path):
     assert {"accepted", "duplicate", "stale_epoch"} <= set(batch.values())
 
 
+def test_streamed_producers_with_many_chunks(spark, tmp_path):
+    """A producer whose rows of one micro-batch come in many chunks, out of order."""
+    rows = [("s", 1, i, 0, i) for i in range(600)]
+    random.Random(6).shuffle(rows)
+    df = spark.createDataFrame(rows, "stream string, producer long, arrival long, epoch long, seq long").coalesce(1)
+    df.write.parquet(f"{tmp_path}/in")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        sources.drain(sources.producers(sources.tail(spark, f"{tmp_path}/in", df.schema)), f"{tmp_path}/state", f"{tmp_path}/out")
+        assert [x["status"] for x in spark.read.parquet(f"{tmp_path}/out").collect()] == ["accepted"] * 600
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_lineage_of_any_depth(spark):
+    forks = spark.createDataFrame([(f"s{i}", f"s{i + 1}", f"{50 + (i * 7) % 30:04d}") for i in range(12)], "child string, parent string, at string").coalesce(1)
+    got = {(x["stream"], x["ancestor"]): x["cap"] for x in streams.lineage(forks).collect()}
+    assert got == {(f"s{i}", f"s{j}"): f"{min(50 + (k * 7) % 30 for k in range(i, j)):04d}" for i in range(12) for j in range(i + 1, 13)}
+
+
+def test_scans_of_groups_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 20)
+    r = random.Random(9)
+    rows = [(r.choice("aaab"), i, r.randrange(9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, i long, n long").repartition(3)
+    got = {x["i"]: (x["s"], x["m"]) for x in ordering.scan(df, "i", [], {"s": F.col("n")}, {"m": F.col("n")}, group=["g"], before=True).collect()}
+    for g, i, _ in rows:
+        seen = [n for h, j, n in rows if h == g and j < i]
+        assert got[i] == (sum(seen), max(seen, default=None))
+    names = sorted({"".join(r.choices("abcé", k=r.randrange(1, 6))) for _ in range(200)}, key=str.encode)
+    placed = ordering.by_text(spark.createDataFrame([(x,) for x in names], "t string").repartition(3), "t", "place").collect()
+    assert [x["t"] for x in sorted(placed, key=lambda x: x["place"])] == names and sorted(x["place"] for x in placed) == list(range(1, len(names) + 1))
+
+
 def test_all_producers_are_judged(spark, tmp_path):
     """a17_producer against a sequential model, for suppliers beyond any fixed prefix of ids."""
     from tidemark.plans.registry import QUERIES

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 U64 = "18446744073709551615"
+CONTENT_TYPE_BYTES = 256
 #: The characters of an HTTP token.
 TOKEN = r"[!#$%&'*+.^_`|~0-9A-Za-z-]+"
 
@@ -24,22 +25,38 @@ def path_error(p: Column) -> Column:
     )
 
 
+def _trim(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def content_type(raw: Column) -> Column:
-    """struct(canonical, error)."""
-    low = F.lower(F.trim(raw))
-    essence = F.trim(F.substring_index(low, ";", 1))
-    params = F.filter(F.transform(F.slice(F.split(low, ";"), F.lit(2), F.size(F.split(low, ";"))), lambda x: F.trim(x)), lambda x: x != "")
-    charset = F.regexp_extract(F.get(params, F.lit(0)), rf'^charset="?({TOKEN})"?$', 1)
-    canonical = F.when(F.size(params) == 0, essence).otherwise(F.concat(essence, F.lit("; charset="), charset))
-    error = (
-        F.when(F.octet_length(raw) > 256, "OverMaxBytes")
-        .when(~essence.rlike(rf"^{TOKEN}/{TOKEN}$"), "Malformed")
-        .when(F.exists(params, lambda x: ~x.startswith("charset=")) | (F.size(params) > 1), "UnsupportedParameter")
-        .when((F.size(params) == 1) & (charset == ""), "Malformed")
-    )
+    """struct(canonical, error). The first parameter that breaks a rule names the error."""
+    parts = F.split(raw, ";", -1)
+    essence = _trim(F.get(parts, F.lit(0)))
+    params = F.transform(F.slice(parts, F.lit(2), F.size(parts)), _trim)
+    name = lambda p: F.lower(_trim(F.substring_index(p, "=", 1)))
+    value = lambda p: _trim(p.substr(F.instr(p, "=") + 1, F.length(p)))
+    wrong = lambda p, i: F.when(~p.contains("="), "Malformed").when(name(p) != "charset", "UnsupportedParameter").when((i > 0) | ~value(p).rlike(rf"^{TOKEN}$"), "Malformed")
+    first = F.get(F.filter(F.transform(params, wrong), lambda e: e.isNotNull()), F.lit(0))
+    canonical = F.lower(F.when(F.size(params) == 0, essence).otherwise(F.concat(essence, F.lit("; charset="), value(F.get(params, F.lit(0))))))
+    error = F.when(F.octet_length(raw) > CONTENT_TYPE_BYTES, "OverMaxBytes").when(~essence.rlike(rf"^{TOKEN}/{TOKEN}$"), "Malformed").when(first.isNotNull(), first).when(F.octet_length(canonical) > CONTENT_TYPE_BYTES, "OverMaxBytes")
     return F.struct(F.when(error.isNull(), canonical).alias("canonical"), error.alias("error"))
 
 
+def canonical_content_type_error(raw: Column) -> Column:
+    """Null if raw is spelt canonically, else the rule that it breaks."""
+    essence, mark = F.substring_index(raw, "; charset=", 1), F.instr(raw, "; charset=")
+    charset = F.when(mark > 0, raw.substr(mark + 10, F.length(raw)))
+    token = rf"^(?!.*[A-Z]){TOKEN}$"
+    slash = F.instr(essence, "/")
+    halves = [F.substring_index(essence, "/", 1), essence.substr(slash + 1, F.length(essence))]
+    return (
+        F.when(F.octet_length(raw) > CONTENT_TYPE_BYTES, "OverMaxBytes")
+        .when(essence.contains(";") | F.coalesce(charset.contains(";"), F.lit(False)) | (slash == 0), "Malformed")
+        .when(~halves[0].rlike(token) | ~halves[1].rlike(token) | F.coalesce(~charset.rlike(token), F.lit(False)), "NonCanonical")
+    )
+
+
 def essence(ct: Column) -> Column:
     """The loose form: parameters cut off, lower-case."""
     return F.lower(F.trim(F.substring_index(ct, ";", 1)))
@@ -54,10 +71,11 @@ def is_text(ct: Column) -> Column:
 
 
 def ttl(raw: Column) -> Column:
-    """struct(seconds decimal(20,0), error)."""
-    n = F.try_to_number(raw, F.lit("9" * 20)).cast("decimal(20,0)")
-    error = F.when(raw == "0", "Zero").when(~raw.rlike("^[1-9][0-9]*$"), "Malformed").when((F.length(raw) > 20) | ((F.length(raw) == 20) & (raw > U64)), "OverMax")
-    return F.struct(F.when(error.isNull(), n).alias("seconds"), error.alias("error"))
+    """struct(seconds decimal(20,0), error). Digits are read from the left: too many of them come before a later bad character."""
+    digits = F.regexp_extract(raw, "^[0-9]*", 0)
+    over = (F.length(digits) > 20) | ((F.length(digits) == 20) & (digits > U64))
+    error = F.when((raw == "") | ((F.length(raw) > 1) & F.startswith(raw, F.lit("0"))), "Malformed").when(over, "OverMax").when(digits != raw, "Malformed").when(raw == "0", "Zero")
+    return F.struct(F.when(error.isNull(), raw.try_cast("decimal(20,0)")).alias("seconds"), error.alias("error"))
 
 
 def instant_ns(raw: Column) -> Column:
@@ -105,12 +123,22 @@ def successor(n: Column) -> Column:
     return F.when((n >= 1) & (n < 9223372036854775807), n + 1)
 
 
-def fnv1a_low32(text: Column) -> Column:
-    """FNV-1a, 32 bits, of the text's bytes."""
-    n = F.octet_length(text)
-    byte = lambda i: F.conv(F.substring(F.hex(text.cast("binary")), 2 * i + 1, F.lit(2)), 16, 10).cast("bigint")
-    step = lambda h, i: F.pmod(h.bitwiseXOR(byte(i)) * F.lit(16777619), F.lit(4294967296))
-    return F.when(n == 0, F.lit(2166136261)).otherwise(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(2166136261).cast("bigint"), step))
+def fnv1a_64(text: Column) -> Column:
+    """FNV-1a, 64 bits, of the text's bytes, as decimal(20,0); worked out in two halves of 32 bits."""
+    mask = F.lit((1 << 32) - 1)
+    half = lambda hi, lo: F.struct(hi.cast("bigint").alias("hi"), lo.cast("bigint").alias("lo"))
+    # the prime is 2^40 + 435
+
+    def step(h: Column, byte: Column) -> Column:
+        lo = h["lo"].bitwiseXOR(byte)
+        low = lo * 435
+        return half((h["hi"] * 435 + F.shiftright(low, 32) + F.shiftleft(lo, 8)).bitwiseAND(mask), low.bitwiseAND(mask))
+
+    digits = F.hex(text.cast("binary"))
+    byte = lambda d: lambda i: F.conv(F.substring(d, 2 * i + 1, F.lit(2)), 16, 10).cast("bigint")
+    values = F.when(F.length(digits) == 0, F.array().cast("array<bigint>")).otherwise(F.get(F.transform(F.array(digits), lambda d: F.transform(F.sequence(F.lit(0), (F.length(d) / 2).cast("int") - 1), byte(d))), F.lit(0)))
+    end = F.aggregate(values, half(F.lit(0xCBF29CE4), F.lit(0x84222325)), step)
+    return (end["hi"].cast("decimal(10,0)") * F.lit(1 << 32).cast("decimal(10,0)") + end["lo"].cast("decimal(10,0)")).cast("decimal(20,0)")
 
 
 def glob_regex(pattern: Column) -> Column:
@@ -120,6 +148,18 @@ def glob_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.array_join(F.transform(F.split(pattern, "/"), one), ""), F.lit("$"))
 
 
+def enriched(raw: Column, offset: Column) -> Column:
+    """A JSON message with its offset put into its headers, if it is an object whose headers have a string operation or control.
+
+    raw is compact JSON; what is not such an object comes back unchanged.
+    """
+    v = F.try_parse_json(raw)
+    text = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.lit(False))
+    headers = F.get_json_object(raw, "$.headers")
+    more = F.concat(F.lit('"headers":'), headers.substr(F.lit(1), F.length(headers) - 1), F.lit(',"offset":"'), offset, F.lit('"}'))
+    return F.when(text("$.headers.operation") | text("$.headers.control"), F.replace(raw, F.concat(F.lit('"headers":'), headers), more)).otherwise(raw)
+
+
 def cursor(now_seconds: Column) -> Column:
     return F.floor((now_seconds - 1728432000) / 20)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordering import scan
+
 
 def latest(kv: DataFrame, snapshot: int | None = None) -> DataFrame:
     """The newest visible version of each key (seq below the snapshot); a tombstone hides it."""
@@ -55,11 +57,15 @@ def balances(transfers: DataFrame) -> DataFrame:
     return sides.groupBy("account").agg(F.sum("d").alias("debits"), F.sum("c").alias("credits"))
 
 
+def sides(transfers: DataFrame) -> DataFrame:
+    """account, id, ts, delta, side of both accounts of each transfer."""
+    of = lambda account, sign, side: transfers.select(F.col(account).alias("account"), "id", "ts", (sign * F.col("amount")).alias("delta"), F.lit(side).alias("side"))
+    return of("debit", -1, "d").unionByName(of("credit", 1, "c"))
+
+
 def running_balance(transfers: DataFrame) -> DataFrame:
-    """account, ts, balance (credits - debits) after each transfer that touches it."""
-    sides = transfers.select(F.col("debit").alias("account"), "id", "ts", (-F.col("amount")).alias("delta")).unionByName(transfers.select(F.col("credit").alias("account"), "id", "ts", F.col("amount").alias("delta")))
-    order = Window.partitionBy("account").orderBy("ts", "delta").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return sides.select("account", "ts", "delta", F.sum("delta").over(order).alias("balance"))
+    """account, id, ts, delta, side, balance (credits - debits) after each transfer that touches the account."""
+    return scan(sides(transfers), "ts", ["delta", "id", "side"], {"balance": F.col("delta")}, group=["account"])
 
 
 def equals_or_any(column: str, value: int) -> Column:

@@ -21,7 +21,7 @@ RUN_FACTS = 64
 def effective(commands: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Each path ever created: uid (0: refused for lack of room), tc, tx, td and the create's settings."""
     create = commands.where("cmd = 'create'").groupBy("path").agg(F.min("seq").alias("tc"), F.min_by(F.struct("content_type", "expiry", "lifecycle"), "seq").alias("made"))
-    paths = ranked(create, "tc", [], "uid").withColumn("uid", F.when(F.col("uid") <= capacity, F.col("uid")).otherwise(0))
+    paths = ranked(create, "tc", [], "uid", like=commands.select(F.col("seq").alias("tc"))).withColumn("uid", F.when(F.col("uid") <= capacity, F.col("uid")).otherwise(0))
     later = commands.where("cmd != 'create'").join(paths.select("path", "tc"), "path").where("seq > tc")
     ends = later.groupBy("path").agg(F.min(F.when(F.col("cmd") == "delete", F.col("seq"))).alias("td"), F.min(F.when(F.col("cmd") == "close", F.col("seq"))).alias("close"))
     with_ends = paths.join(ends, "path", "left")
@@ -46,12 +46,12 @@ def decide(commands: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return c.select("seq", "path", "cmd", "content_type", "expiry", "lifecycle", outcome.alias("outcome"), F.when(outcome.isin("Created", "AlreadyExists", "Closed", "AlreadyClosed", "Deleted"), F.col("uid")).alias("uid"))
 
 
-def facts(decided: DataFrame) -> DataFrame:
-    """What took effect: fact_no 1, 2 ..., batch (RUN_FACTS facts each), kind, path, uid and settings."""
+def facts(decided: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """What took effect: fact_no 1, 2 ..., batch (RUN_FACTS facts each), kind, path, uid and settings. like: the commands' seq, where that is at hand."""
     kinds = {"Created": "StreamCreated", "Closed": "StreamClosed", "Deleted": "StreamDeleted"}
     kind = F.create_map(*[F.lit(x) for k in kinds.items() for x in k])[F.col("outcome")]
     took = decided.where(F.col("outcome").isin(*kinds)).select("seq", "path", "uid", kind.alias("kind"), "content_type", "expiry", "lifecycle")
-    return ranked(took, "seq", [], "fact_no").withColumn("batch", F.floor((F.col("fact_no") - 1) / RUN_FACTS) + 1)
+    return ranked(took, "seq", [], "fact_no", like=decided.select("seq") if like is None else like).withColumn("batch", F.floor((F.col("fact_no") - 1) / RUN_FACTS) + 1)
 
 
 def fold(fact_rows: DataFrame, upto: int | None = None) -> DataFrame:
@@ -88,7 +88,7 @@ def status(paths: DataFrame, folded: DataFrame) -> DataFrame:
 def integrity(dir_rows: DataFrame, led_rows: DataFrame) -> DataFrame:
     """One row for each contradiction between the two stores: error, uid."""
     n = dir_rows.agg(F.count("*").alias("n"))
-    out_of_range = dir_rows.crossJoin(n).where("uid < 1 or uid > n").select(F.lit("CountMismatch").alias("error"), "uid")  # n is one row
+    out_of_range = dir_rows.crossJoin(n).where("uid < 1 or uid > n").select(F.when(F.col("uid") < 1, "UidGap").otherwise("CountMismatch").alias("error"), "uid")  # n is one row
     twice = dir_rows.groupBy("uid").count().where("count > 1").select(F.lit("UidGap").alias("error"), "uid")
     both = dir_rows.join(led_rows.select(F.col("uid").alias("l_uid")), F.col("uid") == F.col("l_uid"), "full_outer")
     error = F.when(F.col("uid").isNull(), "RecordWithoutLive").when((F.col("state") == "Live") & F.col("l_uid").isNull(), "LiveWithoutRecord").when((F.col("state") == "Tombstone") & F.col("l_uid").isNotNull(), "TombstoneWithRecord")

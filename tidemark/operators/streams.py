@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.parsing import glob_regex
+from tidemark.operators.ordering import scan
 
 UNBOUNDED = (Window.unboundedPreceding, Window.currentRow)
 
@@ -21,31 +22,36 @@ def catch_up(messages: DataFrame, offset: str) -> DataFrame:
     return tails.join(got, "stream", "left").select("stream", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("last", F.greatest(F.lit(offset), F.col("tail"))).alias("next_offset"), (F.coalesce("last", "tail") == F.col("tail")).alias("up_to_date"))
 
 
+def _at(off: Column) -> Column:
+    """A number that ascends with an offset's spelling, for cutting ranges only."""
+    return F.substring_index(off, "_", 1).cast("double") * 1e16 + F.substring_index(off, "_", -1).cast("double")
+
+
 def budget_read(messages: DataFrame, budget: int, limit: int | None = None, oversized_first: bool = True) -> DataFrame:
     """Of each stream the first messages within a budget of bytes; the first one comes also if it is larger."""
-    order = Window.partitionBy("stream").orderBy("off")
-    m = messages.withColumn("_i", F.row_number().over(order)).withColumn("_sum", F.sum(F.octet_length("data")).over(order.rowsBetween(*UNBOUNDED)))
+    m = scan(messages.withColumn("_at", _at(F.col("off"))), "_at", ["off"], {"_i": F.lit(1), "_sum": F.octet_length("data")}, group=["stream"])
     fits = F.col("_sum") <= budget
     keep = fits | (F.col("_i") == 1) if oversized_first else fits
     if limit is not None:
         keep = keep & (F.col("_i") <= limit)
-    return m.where(keep).drop("_i", "_sum")
+    return m.where(keep).drop("_i", "_sum", "_at")
 
 
-def lineage(forks: DataFrame, depth: int = 8) -> DataFrame:
-    """forks(child, parent, at): each stream with all its ancestors and the offset up to which it sees them."""
+def lineage(forks: DataFrame) -> DataFrame:
+    """forks(child, parent, at): each stream with all its ancestors and the offset up to which it sees them. One step up at a time, until none is left."""
     step = forks.select(F.col("child").alias("stream"), F.col("parent").alias("ancestor"), F.col("at").alias("cap"))
     found = step
     up = forks.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"), "at")
-    for _ in range(depth - 1):
+    while True:
         step = step.join(up, "ancestor").select("stream", F.col("next").alias("ancestor"), F.least("cap", "at").alias("cap"))
+        if step.isEmpty():
+            return found
         found = found.unionByName(step)
-    return found
 
 
-def stitched(messages: DataFrame, forks: DataFrame, depth: int = 8) -> DataFrame:
+def stitched(messages: DataFrame, forks: DataFrame) -> DataFrame:
     """Each stream's own messages after those that it inherits."""
-    inherited = lineage(forks, depth).join(messages.withColumnRenamed("stream", "ancestor"), "ancestor").where(F.col("off") <= F.col("cap"))
+    inherited = lineage(forks).join(messages.withColumnRenamed("stream", "ancestor"), "ancestor").where(F.col("off") <= F.col("cap"))
     return messages.select("stream", "off", "data").unionByName(inherited.select("stream", "off", "data"))
 
 
@@ -81,8 +87,8 @@ def judge_producers(log: DataFrame) -> DataFrame:
 
 def increasing(log: DataFrame) -> DataFrame:
     """log(stream, arrival, token): a token is accepted if it is larger than all before it."""
-    before = Window.partitionBy("stream").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    return log.withColumn("accepted", F.col("token") > F.coalesce(F.max("token").over(before), F.lit("")))
+    seen = scan(log, "arrival", [], maxima={"_most": F.col("token")}, group=["stream"], before=True)
+    return seen.withColumn("accepted", F.col("token") > F.coalesce("_most", F.lit(""))).drop("_most")
 
 
 def match_patterns(patterns: DataFrame, paths: DataFrame) -> DataFrame:
@@ -121,10 +127,8 @@ def judge_appends(requests: DataFrame) -> DataFrame:
 
     A stream is missing until its create, and closed after its close.
     """
-    before = Window.partitionBy("stream").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    made = F.coalesce(F.max(F.col("kind") == "create").over(before), F.lit(False))
-    closed = F.coalesce(F.max(F.col("kind") == "close").over(before), F.lit(False))
-    r = requests.withColumn("_made", made).withColumn("_closed", closed)
+    r = scan(requests, "arrival", [], maxima={"_made": F.col("kind") == "create", "_closed": F.col("kind") == "close"}, group=["stream"], before=True)
+    r = r.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("_made", "_closed")})
     status = F.when(~F.col("_made"), 404).when(F.col("_closed"), 409).when(F.col("content_type") != F.col("made_type"), 415).otherwise(204)
     return r.where("kind = 'append'").select("stream", "arrival", status.alias("status"))
 
@@ -135,21 +139,21 @@ def stateful_producers(stream: DataFrame) -> DataFrame:
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         epoch, last = state.get if state.exists else (None, -1)
-        for part in parts:
-            part = part.sort_values("arrival")
-            status = []
-            for e, s in zip(part["epoch"].tolist(), part["seq"].tolist(), strict=True):
-                if epoch is None or e > epoch:
-                    verdict = "accepted" if s == 0 else "sequence_gap" if epoch is None else "invalid_epoch_seq"
-                elif e < epoch:
-                    verdict = "stale_epoch"
-                else:
-                    verdict = "duplicate" if s <= last else "accepted" if s == last + 1 else "sequence_gap"
-                if verdict == "accepted":
-                    epoch, last = e, s
-                status.append(verdict)
-            if epoch is not None:
-                state.update((epoch, last))
-            yield part.assign(status=status)
+        # a producer's rows of a micro-batch come in several chunks, in any order
+        part = pd.concat(list(parts)).sort_values("arrival")
+        status = []
+        for e, s in zip(part["epoch"].tolist(), part["seq"].tolist(), strict=True):
+            if epoch is None or e > epoch:
+                verdict = "accepted" if s == 0 else "sequence_gap" if epoch is None else "invalid_epoch_seq"
+            elif e < epoch:
+                verdict = "stale_epoch"
+            else:
+                verdict = "duplicate" if s <= last else "accepted" if s == last + 1 else "sequence_gap"
+            if verdict == "accepted":
+                epoch, last = e, s
+            status.append(verdict)
+        if epoch is not None:
+            state.update((epoch, last))
+        yield part.assign(status=status)
 
     return stream.groupBy("stream", "producer").applyInPandasWithState(step, "stream string, producer bigint, arrival bigint, epoch bigint, seq bigint, status string", "epoch bigint, last bigint", "append", "NoTimeout")

@@ -23,8 +23,8 @@ COMMANDS = """commands AS (SELECT event_id + 1 AS seq, 'users/' || user_id || '/
   FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events))"""
 
 
-def decided_sql(capacity: int = lifecycle.CAPACITY) -> str:
-    return f"""{COMMANDS},
+def decided_sql(capacity: int = lifecycle.CAPACITY, source: str = COMMANDS) -> str:
+    return f"""{source},
 tc AS (SELECT path, min(seq) AS tc, arg_min(content_type, seq) AS ct, arg_min(lifecycle, seq) AS lc FROM commands WHERE cmd = 'create' GROUP BY path),
 rk AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY tc) <= {capacity} THEN row_number() OVER (ORDER BY tc) ELSE 0 END AS uid FROM tc),
 td AS (SELECT path, min(seq) AS td FROM commands JOIN tc USING (path) WHERE cmd = 'delete' AND seq > tc GROUP BY path),
@@ -54,7 +54,8 @@ def folded_sql(name: str = "folded", upto: str = "1e18") -> str:
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
-    return lifecycle.facts(lifecycle.decide(commands(spark, sf)))
+    c = commands(spark, sf)
+    return lifecycle.facts(lifecycle.decide(c), like=c.select("seq"))
 
 
 def folded(spark: SparkSession, sf: str, upto: int | None = None) -> DataFrame:
@@ -63,15 +64,13 @@ def folded(spark: SparkSession, sf: str, upto: int | None = None) -> DataFrame:
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
     """stream, n (place), data, off (the end of the message), ts."""
-    from pyspark.sql import Window
-
     from tidemark.functions.parsing import offset_text
+    from tidemark.operators.ordering import scan
 
     data = F.concat(F.lit('{"id":'), F.col("event_id"), F.lit(',"u":'), F.col("user_id"), F.lit("}"))
     rows = table(spark, sf, "events").select(F.concat(F.lit("events/"), F.col("event_type")).alias("stream"), "event_id", data.alias("data"), "ts")
-    order = Window.partitionBy("stream").orderBy("event_id")
-    size = F.sum(F.octet_length("data") + 5).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.select("stream", F.row_number().over(order).cast("bigint").alias("n"), "data", offset_text(F.lit(0), size).alias("off"), "ts", "event_id")
+    placed = scan(rows, "event_id", [], {"n": F.lit(1).cast("bigint"), "size": F.octet_length("data") + 5}, group=["stream"])
+    return placed.select("stream", "n", "data", offset_text(F.lit(0), F.col("size")).alias("off"), "ts", "event_id")
 
 
 MESSAGES = """messages AS (SELECT 'events/' || event_type AS stream, row_number() OVER w AS n, data, '0000000000000000_' || lpad(CAST(sum(strlen(data) + 5) OVER w AS VARCHAR), 16, '0') AS off, ts, event_id

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import lifecycle as L
-from tidemark.operators.ordering import running
+from tidemark.operators.ordering import by_text, running
 from tidemark.plans.inputs import COMMANDS, FACTS, MANIFEST, commands, decided_sql, facts, folded, folded_sql, manifest
 from tidemark.plans.registry import query
 
@@ -176,14 +176,17 @@ _SPOILT = """d AS (SELECT path, CASE WHEN uid % 41 = 0 THEN uid + 1 WHEN uid % 5
 l AS (SELECT uid FROM folded WHERE state = 'Live' AND uid % 29 <> 0)"""
 
 
-@query(f"WITH {FACTS}, {folded_sql()}, {_SPOILT} SELECT 'CountMismatch' AS error, uid FROM d WHERE uid < 1 OR uid > (SELECT count(*) FROM d) UNION ALL SELECT 'UidGap', uid FROM d GROUP BY uid HAVING count(*) > 1 UNION ALL SELECT CASE WHEN d.uid IS NULL THEN 'RecordWithoutLive' WHEN l.uid IS NULL THEN 'LiveWithoutRecord' ELSE 'TombstoneWithRecord' END, coalesce(d.uid, l.uid) FROM d FULL JOIN l ON d.uid = l.uid WHERE d.uid IS NULL OR (state = 'Live' AND l.uid IS NULL) OR (state = 'Tombstone' AND l.uid IS NOT NULL)")
+@query(f"WITH {FACTS}, {folded_sql()}, {_SPOILT} SELECT CASE WHEN uid < 1 THEN 'UidGap' ELSE 'CountMismatch' END AS error, uid FROM d WHERE uid < 1 OR uid > (SELECT count(*) FROM d) UNION ALL SELECT 'UidGap', uid FROM d GROUP BY uid HAVING count(*) > 1 UNION ALL SELECT CASE WHEN d.uid IS NULL THEN 'RecordWithoutLive' WHEN l.uid IS NULL THEN 'LiveWithoutRecord' ELSE 'TombstoneWithRecord' END, coalesce(d.uid, l.uid) FROM d FULL JOIN l ON d.uid = l.uid WHERE d.uid IS NULL OR (state = 'Live' AND l.uid IS NULL) OR (state = 'Tombstone' AND l.uid IS NOT NULL)")
 def j2_invariants(spark, sf):
     f, uid = folded(spark, sf), F.col("uid")
     d = f.select("path", F.when(uid % 37 == 0, "Tombstone").otherwise(F.col("state")).alias("state"), F.when(uid % 41 == 0, uid + 1).when(uid % 53 == 0, uid + 100000).otherwise(uid).alias("uid"))
     return L.integrity(d, L.ledger(f).where("uid % 29 != 0").select("uid"))
 
 
-@query(f"WITH {FACTS}, {folded_sql()} SELECT CAST(0 AS BIGINT) AS differing")
+@query(f"""WITH {FACTS}, {folded_sql('whole')}, {folded_sql('base', '3')}, suffix AS (SELECT path, max(uid) AS uid, bool_or(kind = 'StreamDeleted') AS dead, bool_or(kind = 'StreamClosed' OR (kind = 'StreamCreated' AND lifecycle = 'closed')) AS shut, max(CASE WHEN kind = 'StreamCreated' THEN content_type END) AS ct, max(CASE WHEN kind = 'StreamCreated' THEN fact_no END) AS made FROM facts WHERE batch > 3 GROUP BY path),
+one AS (SELECT path, coalesce(b.uid, s.uid) AS uid, coalesce(s.dead, false) OR coalesce(b.state = 'Tombstone', false) AS gone, coalesce(b.content_type, s.ct) AS ct, coalesce(b.lifecycle = 'closed', false) OR coalesce(s.shut, false) AS shut, coalesce(b.created_at, s.made) AS made FROM base b FULL JOIN suffix s USING (path)),
+replayed AS (SELECT path, uid, CASE WHEN gone THEN 'Tombstone' ELSE 'Live' END AS state, CASE WHEN NOT gone THEN ct END AS content_type, CASE WHEN NOT gone THEN CASE WHEN shut THEN 'closed' ELSE 'open' END END AS lifecycle, CASE WHEN NOT gone THEN made END AS created_at FROM one)
+SELECT count(*) AS differing FROM ((SELECT path, uid, state, content_type, lifecycle, created_at FROM whole EXCEPT ALL SELECT * FROM replayed) UNION ALL (SELECT * FROM replayed EXCEPT ALL SELECT path, uid, state, content_type, lifecycle, created_at FROM whole))""")
 def a14_replay_equals_fold(spark, sf):
     rows = facts(spark, sf)
     whole, base = L.fold(rows), L.fold(rows, 3)
@@ -232,8 +235,7 @@ def a9_sources(spark, sf):
 
 @query(f"WITH {FACTS}, {folded_sql()} SELECT path, (row_number() OVER (ORDER BY path) - 1) // 8 AS chunk FROM folded")
 def a10_chunks(spark, sf):
-    order = Window.partitionBy("one").orderBy("path")  # the resident directory: 10 million paths at most
-    return folded(spark, sf).withColumn("one", F.lit(1)).select("path", F.floor((F.row_number().over(order) - 1) / 8).alias("chunk"))
+    return by_text(folded(spark, sf).select("path"), "path", "place").select("path", F.floor((F.col("place") - 1) / 8).alias("chunk"))
 
 
 @query(f"WITH {FACTS}, {folded_sql()} SELECT path AS row_key, 'directory' AS tree FROM folded UNION ALL SELECT CAST(uid AS VARCHAR), 'ledger' FROM folded WHERE state = 'Live'")

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import lifecycle as L
-from tidemark.operators.ordering import ranked
-from tidemark.plans.inputs import CHANGES, COMMANDS, FACTS, KV, MANIFEST, changes, commands, facts, folded, folded_sql, kv, manifest
+from tidemark.operators.ordering import by_text, scan
+from tidemark.operators.requests import http_statuses
+from tidemark.plans.inputs import CHANGES, COMMANDS, FACTS, KV, MANIFEST, changes, commands, decided_sql, facts, folded, folded_sql, kv, manifest
 from tidemark.plans.registry import query
 from tidemark.session import table
 
@@ -19,8 +20,7 @@ def s1_open(spark, sf):
 
 @query(f"WITH {FACTS}, {folded_sql()} SELECT uid, uid - lag(uid) OVER (ORDER BY uid) AS step FROM folded WHERE state = 'Live'")
 def s9_ledger_scan(spark, sf):
-    order = Window.partitionBy("store").orderBy("uid")  # the resident ledger: 10 million records at most
-    return L.ledger(folded(spark, sf)).withColumn("store", F.lit("ledger")).select("uid", (F.col("uid") - F.lag("uid").over(order)).alias("step"))
+    return scan(L.ledger(folded(spark, sf)).select("uid"), "uid", [], maxima={"last": F.col("uid")}, like=facts(spark, sf).select("uid"), before=True).select("uid", (F.col("uid") - F.col("last")).alias("step"))
 
 
 @query(f"WITH {FACTS}, {folded_sql()} SELECT path, uid, CASE WHEN strlen(path) > 512 THEN 'OverBound' ELSE 'Row' END AS row_kind FROM folded")
@@ -33,10 +33,29 @@ def s11_wal_check(spark, sf):
     return facts(spark, sf).groupBy("batch").agg(F.count("*").alias("n"), F.count("*").between(1, 4096).alias("bounded"), (F.min("fact_no") == 64 * (F.col("batch") - 1) + 1).alias("starts_right"))
 
 
-@query("SELECT event_id, CASE WHEN user_id % 9 = 0 THEN 404 WHEN event_type = 'view' THEN 501 WHEN event_type = 'signup' THEN 201 WHEN event_type = 'error' THEN 204 ELSE 200 END AS status FROM events")
+_REQUESTS = """requests AS (SELECT event_id + 1 AS seq, CASE user_id WHEN 7 THEN '__ds/users/7' WHEN 11 THEN 'users//k' ELSE 'users/' || user_id || '/k' || (k % 5) END AS path,
+  CASE event_type WHEN 'view' THEN 'HEAD' WHEN 'purchase' THEN 'POST' WHEN 'error' THEN 'DELETE' WHEN 'signup' THEN CASE WHEN value > 400 THEN 'GET' ELSE 'PUT' END ELSE 'PUT' END AS verb,
+  value > 300 AS body, CASE WHEN value > 100 THEN 'closed' ELSE 'open' END AS lifecycle, CASE k % 2 WHEN 0 THEN 'application/json' ELSE 'text/plain' END AS content_type
+  FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)),
+valid AS (SELECT * FROM requests WHERE path NOT LIKE '\\_\\_ds/%' ESCAPE '\\' AND NOT contains(path, '//')),
+commands AS (SELECT seq, path, CASE verb WHEN 'PUT' THEN 'create' WHEN 'POST' THEN 'close' ELSE 'delete' END AS cmd, content_type, lifecycle FROM valid WHERE verb = 'DELETE' OR (verb = 'PUT' AND NOT body) OR (verb = 'POST' AND NOT body AND lifecycle = 'closed'))"""
+
+
+def _requests(spark, sf):
+    """HTTP requests of the event log: seq, path, verb, body (there is one), lifecycle (of the header) and content type."""
+    k, user, t, value = F.get_json_object("props", "$.k").cast("bigint"), F.col("user_id"), F.col("event_type"), F.col("value")
+    path = F.when(user == 7, "__ds/users/7").when(user == 11, "users//k").otherwise(F.concat(F.lit("users/"), user, F.lit("/k"), k % 5))
+    verb = F.when(t == "view", "HEAD").when(t == "purchase", "POST").when(t == "error", "DELETE").when((t == "signup") & (value > 400), "GET").otherwise("PUT")
+    return table(spark, sf, "events").select((F.col("event_id") + 1).alias("seq"), path.alias("path"), verb.alias("verb"), (value > 300).alias("body"), F.when(value > 100, "closed").otherwise("open").alias("lifecycle"), F.when(k % 2 == 0, "application/json").otherwise("text/plain").alias("content_type"))
+
+
+@query(f"""WITH {decided_sql(source=_REQUESTS)}, r AS (SELECT r.*, d.outcome, e.tc, e.td FROM requests r LEFT JOIN decided d USING (seq) LEFT JOIN eff e ON e.path = r.path)
+SELECT seq, CASE WHEN path LIKE '\\_\\_ds/%' ESCAPE '\\' THEN 404 WHEN contains(path, '//') THEN 400 WHEN verb = 'GET' THEN 501
+  WHEN verb = 'HEAD' THEN CASE WHEN tc IS NULL OR seq < tc THEN 404 WHEN seq > td THEN 410 ELSE 200 END
+  WHEN verb = 'PUT' AND body THEN 400 WHEN verb = 'POST' AND body THEN 501 WHEN verb = 'POST' AND lifecycle = 'open' THEN 400
+  ELSE CASE outcome WHEN 'Created' THEN 201 WHEN 'AlreadyExists' THEN 200 WHEN 'Occupied' THEN 409 WHEN 'CapacityExhausted' THEN 429 WHEN 'NotLive' THEN CASE WHEN tc IS NULL OR seq < tc THEN 404 ELSE 410 END ELSE 204 END END AS status FROM r""")
 def s16_http_verbs(spark, sf):
-    t = F.col("event_type")
-    return table(spark, sf, "events").select("event_id", F.when(F.col("user_id") % 9 == 0, 404).when(t == "view", 501).when(t == "signup", 201).when(t == "error", 204).otherwise(200).alias("status"))
+    return http_statuses(_requests(spark, sf))
 
 
 @query(f"WITH {KV} SELECT key, seq, value FROM kv WHERE kind = 'Value' UNION ALL SELECT key || '+', seq, value FROM kv WHERE kind = 'Value' AND seq % 10 = 0")
@@ -71,7 +90,7 @@ def a33_read_modify_write(spark, sf):
 
 @query(f"WITH {FACTS}, {folded_sql()} SELECT path, row_number() OVER (ORDER BY path) AS place FROM folded")
 def o1_ordered_map(spark, sf):
-    return ranked(L.directory(folded(spark, sf)).withColumn("place_key", F.conv(F.hex(F.substring("path", 1, 7)), 16, 10).cast("bigint")), "place_key", ["path"], "place").select("path", "place")
+    return by_text(L.directory(folded(spark, sf)).select("path"), "path", "place")
 
 
 @query(f"WITH {FACTS} SELECT batch, path FROM facts ORDER BY fact_no DESC LIMIT 1")

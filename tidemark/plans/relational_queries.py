@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import parsing as P
 from tidemark.operators import keyvalue as K
+from tidemark.operators.ordering import scan
 from tidemark.plans.inputs import CHANGES, KV, MANIFEST, TRANSFERS, changes, kv, manifest, transfers
 from tidemark.plans.registry import query
 from tidemark.session import table
@@ -78,7 +79,7 @@ def x34_compaction(spark, sf):
     return K.compact(kv(spark, sf), 700).select("key", "seq", "kind", "value")
 
 
-@query(f"WITH {KV}, t AS (SELECT key, seq % 200 AS txn, seq AS snapshot, seq + 15 AS committed FROM kv WHERE seq < 4000) SELECT DISTINCT r.txn FROM t r WHERE EXISTS (SELECT 1 FROM t w WHERE w.key = r.key AND w.committed > r.snapshot AND w.committed < r.committed)")
+@query(f"WITH {KV}, t AS (SELECT key, seq % 200 AS txn, seq AS snapshot, seq + 15 AS committed FROM kv) SELECT DISTINCT r.txn FROM t r WHERE EXISTS (SELECT 1 FROM t w WHERE w.key = r.key AND w.committed > r.snapshot AND w.committed < r.committed)")
 def x32_conflicts(spark, sf):
     t = kv(spark, sf).select("key", (F.col("seq") % 200).alias("txn"), F.col("seq").alias("snapshot"), (F.col("seq") + 15).alias("committed"))
     return K.conflicts(t, t)
@@ -111,20 +112,19 @@ def a28_balances(spark, sf):
     return K.balances(transfers(spark, sf))
 
 
-@query(f"WITH {TRANSFERS}, s AS (SELECT debit AS account, ts, -amount AS delta FROM transfers UNION ALL SELECT credit, ts, amount FROM transfers) SELECT account, ts, delta, CAST(sum(delta) OVER (PARTITION BY account ORDER BY ts, delta ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS balance FROM s")
+_RUNNING = f"{TRANSFERS}, s AS (SELECT debit AS account, id, ts, -amount AS delta, 'd' AS side FROM transfers UNION ALL SELECT credit, id, ts, amount, 'c' FROM transfers), b AS (SELECT *, CAST(sum(delta) OVER (PARTITION BY account ORDER BY ts, delta, id, side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS balance FROM s)"
+
+
+@query(f"WITH {_RUNNING} SELECT account, ts, delta, balance FROM b")
 def a28_running_balance(spark, sf):
-    return K.running_balance(transfers(spark, sf))
+    return K.running_balance(transfers(spark, sf)).select("account", "ts", "delta", "balance")
 
 
-@query(f"WITH {TRANSFERS}, s AS (SELECT debit AS account, id, ts, -amount AS delta FROM transfers UNION ALL SELECT credit, id, ts, amount FROM transfers), b AS (SELECT account, id, delta, CAST(sum(delta) OVER (PARTITION BY account ORDER BY ts, delta ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS balance FROM s) SELECT t.id, x.balance AS debit_balance, y.balance AS credit_balance FROM transfers t JOIN b x ON x.account = t.debit AND x.id = t.id AND x.delta = -t.amount JOIN b y ON y.account = t.credit AND y.id = t.id AND y.delta = t.amount")
+@query(f"WITH {_RUNNING} SELECT id, max(balance) FILTER (side = 'd') AS debit_balance, max(balance) FILTER (side = 'c') AS credit_balance FROM b GROUP BY id")
 def j16_change_events(spark, sf):
-    t = transfers(spark, sf)
-    sides = t.select(F.col("debit").alias("account"), "id", "ts", (-F.col("amount")).alias("delta")).unionByName(t.select(F.col("credit").alias("account"), "id", "ts", F.col("amount").alias("delta")))
-    order = Window.partitionBy("account").orderBy("ts", "delta").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = sides.select("account", "id", "delta", F.sum("delta").over(order).alias("balance"))
-    x = after.select(F.col("account").alias("debit"), "id", (-F.col("delta")).alias("amount"), F.col("balance").alias("debit_balance"))
-    y = after.select(F.col("account").alias("credit"), "id", F.col("delta").alias("amount"), F.col("balance").alias("credit_balance"))
-    return t.join(x, ["debit", "id", "amount"]).join(y, ["credit", "id", "amount"]).select("id", "debit_balance", "credit_balance")
+    """Both accounts' balances after each transfer."""
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("balance")))
+    return K.running_balance(transfers(spark, sf)).groupBy("id").agg(of("d").alias("debit_balance"), of("c").alias("credit_balance"))
 
 
 @query(f"WITH {TRANSFERS} SELECT id, amount FROM transfers WHERE code = 1 AND debit = 3")
@@ -140,8 +140,7 @@ def p12_time_range(spark, sf):
 
 @query(f"WITH {TRANSFERS}, r AS (SELECT *, sum(CASE WHEN amount >= 49 THEN 1 ELSE 0 END) OVER (PARTITION BY debit ORDER BY ts) AS stopped FROM transfers) SELECT id FROM r WHERE stopped = 0")
 def p13_scan_stop(spark, sf):
-    order = Window.partitionBy("debit").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return transfers(spark, sf).withColumn("stopped", F.sum(F.when(F.col("amount") >= 49, 1).otherwise(0)).over(order)).where("stopped = 0").select("id")
+    return scan(transfers(spark, sf), "ts", ["id"], {"stopped": F.when(F.col("amount") >= 49, 1).otherwise(0)}, group=["debit"]).where("stopped = 0").select("id")
 
 
 @query(f"WITH {TRANSFERS} SELECT id, ts FROM transfers WHERE code = 2 AND ts >= 500 ORDER BY ts DESC LIMIT 25")
@@ -353,7 +352,7 @@ def x33_two_phase(spark, sf):
 
 # scalar functions -----------------------------------------------------------
 
-_DIRTY = ["events/abc", "__ds", "__dsx/foo", "/events", "events/", "events//abc", ".", "events/../secrets", "a" * 513, "wake/pool", "", "events/__ds"]
+_SEGMENTS = ["logs", "", "..", ".", "__ds", "__dsa", "b c", "x" * 300]
 
 
 def _values(spark, rows, column="input"):
@@ -364,25 +363,48 @@ def _in(rows):
     return "v(input) AS (VALUES " + ", ".join(f"({'NULL' if r is None else chr(39) + r.replace(chr(39), chr(39) * 2) + chr(39)})" for r in rows) + ")"
 
 
-@query(f"WITH {_in(_DIRTY)}, u AS (SELECT input FROM v UNION ALL SELECT regexp_replace(url, '^https?://', '') FROM pages), s AS (SELECT input, string_split(input, '/') AS p FROM u) SELECT input, CASE WHEN strlen(input) > 512 THEN 'OverMaxBytes' WHEN p[1] = '__ds' THEN 'ReservedRootSegment' ELSE (SELECT CASE WHEN x = '' THEN 'EmptySegment' ELSE 'RelativeSegment' END FROM (SELECT unnest(p) AS x, generate_subscripts(p, 1) AS i) WHERE x IN ('', '.', '..') ORDER BY i LIMIT 1) END AS error FROM s")
+def _list(values):
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _pick(values, n):
+    """One of some fixed values by a number."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+
+
+@query(f"""WITH g AS (SELECT {_list(_SEGMENTS)} AS g), u AS (SELECT DISTINCT g[1 + p_partkey % 8] || '/' || g[1 + p_size % 8] || '/' || lower(p_brand) AS input FROM part, g UNION SELECT regexp_replace(url, '^https?://', '') FROM pages), s AS (SELECT input, string_split(input, '/') AS p FROM u)
+SELECT input, CASE WHEN strlen(input) > 512 THEN 'OverMaxBytes' WHEN p[1] = '__ds' THEN 'ReservedRootSegment' ELSE (SELECT CASE WHEN x = '' THEN 'EmptySegment' ELSE 'RelativeSegment' END FROM (SELECT unnest(p) AS x, generate_subscripts(p, 1) AS i) WHERE x IN ('', '.', '..') ORDER BY i LIMIT 1) END AS error FROM s""")
 def f1_path(spark, sf):
+    made = table(spark, sf, "part").select(F.concat_ws("/", _pick(_SEGMENTS, F.col("p_partkey")), _pick(_SEGMENTS, F.col("p_size")), F.lower("p_brand")).alias("input"))
     urls = table(spark, sf, "pages").select(F.regexp_replace("url", "^https?://", "").alias("input"))
-    return _values(spark, _DIRTY).union(urls).select("input", P.path_error(F.col("input")).alias("error"))
+    return made.union(urls).distinct().select("input", P.path_error(F.col("input")).alias("error"))
 
 
-_TYPES = {"application/json": ("application/json", None), "Text/Plain; Charset=UTF-8": ("text/plain; charset=utf-8", None), "text/html;charset=\"utf-8\"": ("text/html; charset=utf-8", None), "text": (None, "Malformed"), "a/b; q=1": (None, "UnsupportedParameter"), "a/b; charset=x; charset=y": (None, "UnsupportedParameter"), "/b": (None, "Malformed"), "x" * 257: (None, "OverMaxBytes"), "a/b;": ("a/b", None)}
-_quoted = lambda x: "NULL" if x is None else f"'{x}'"
+_HEADS = ["text/plain", "Text/HTML", "application/json", "a b/c", "text", "/x", "image/", "x/y/z", "  audio/ogg "]
+_PARAMS = ["", ";charset=utf-8", "; charset=UTF-8", "; Charset = latin1", "; q=1", "; charset", '; charset="utf-8"', "; charset=a; charset=b", ";", "; charset=", "; charset=c; q=1"]
+_TYPED = f"v AS (SELECT p_partkey, h[1 + p_partkey % 9] || p[1 + p_partkey % 11] || CASE WHEN p_size = 13 THEN repeat('x', 250) ELSE '' END AS input FROM part, (SELECT {_list(_HEADS)} AS h, {_list(_PARAMS)} AS p))"
+_TOKEN = "[!#$%&''*+.^_`|~0-9A-Za-z-]+"
+
 
+def _typed(spark, sf):
+    n = F.col("p_partkey")
+    return table(spark, sf, "part").select("p_partkey", F.concat(_pick(_HEADS, n), _pick(_PARAMS, n), F.when(F.col("p_size") == 13, "x" * 250).otherwise("")).alias("input"))
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({_quoted(k)}, {_quoted(c)}, {_quoted(e)})" for k, (c, e) in _TYPES.items()) + ") t(input, canonical, error)")
+
+@query(f"""WITH {_TYPED}, s AS (SELECT *, trim(string_split(input, ';')[1]) AS e, list_transform(string_split(input, ';')[2:], lambda x: trim(x)) AS ps FROM v),
+w AS (SELECT *, list_filter(list_transform(range(1, len(ps) + 1), lambda i: CASE WHEN NOT contains(ps[i], '=') THEN 'Malformed' WHEN lower(trim(split_part(ps[i], '=', 1))) <> 'charset' THEN 'UnsupportedParameter' WHEN i > 1 OR NOT regexp_full_match(trim(substr(ps[i], instr(ps[i], '=') + 1)), '{_TOKEN}') THEN 'Malformed' END), lambda e: e IS NOT NULL)[1] AS bad,
+  lower(e || CASE WHEN len(ps) > 0 THEN '; charset=' || trim(substr(ps[1], instr(ps[1], '=') + 1)) ELSE '' END) AS spelt FROM s),
+r AS (SELECT *, CASE WHEN strlen(input) > 256 THEN 'OverMaxBytes' WHEN NOT regexp_full_match(e, '{_TOKEN}/{_TOKEN}') THEN 'Malformed' WHEN bad IS NOT NULL THEN bad WHEN strlen(spelt) > 256 THEN 'OverMaxBytes' END AS error FROM w)
+SELECT p_partkey, input, CASE WHEN error IS NULL THEN spelt END AS canonical, error FROM r""")
 def f2_content_type(spark, sf):
-    return _values(spark, list(_TYPES)).select("input", P.content_type(F.col("input")).alias("r")).select("input", "r.canonical", "r.error")
+    return _typed(spark, sf).select("p_partkey", "input", P.content_type(F.col("input")).alias("r")).select("p_partkey", "input", "r.canonical", "r.error")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({_quoted(k)}, {_quoted(e or (None if c == k else 'NonCanonical'))})" for k, (c, e) in _TYPES.items()) + ") t(input, error)")
+@query(f"""WITH {_TYPED}, s AS (SELECT *, instr(input, '; charset=') AS pos FROM v), t AS (SELECT *, CASE WHEN pos > 0 THEN left(input, pos - 1) ELSE input END AS e, CASE WHEN pos > 0 THEN substr(input, pos + 10) END AS c FROM s)
+SELECT p_partkey, input, CASE WHEN strlen(input) > 256 THEN 'OverMaxBytes' WHEN contains(e, ';') OR coalesce(contains(c, ';'), false) OR NOT contains(e, '/') THEN 'Malformed'
+  WHEN NOT regexp_full_match(e, '{_TOKEN}/{_TOKEN}') OR e <> lower(e) OR NOT coalesce(regexp_full_match(c, '{_TOKEN}') AND c = lower(c), true) THEN 'NonCanonical' END AS error FROM t""")
 def f3_content_type_canonical(spark, sf):
-    r = _values(spark, list(_TYPES)).select("input", P.content_type(F.col("input")).alias("r"))
-    return r.select("input", F.coalesce(F.col("r.error"), F.when(F.col("r.canonical") != F.col("input"), "NonCanonical")).alias("error"))
+    return _typed(spark, sf).select("p_partkey", "input", P.canonical_content_type_error(F.col("input")).alias("error"))
 
 
 @query("SELECT event_id, event_id % 3 = 1 AS json, event_id % 3 = 2 AS text FROM events")
@@ -392,15 +414,21 @@ def f4_modes(spark, sf):
     return table(spark, sf, "events").select("event_id", P.is_json(ct).alias("json"), P.is_text(ct).alias("text"))
 
 
-_TTLS = {"0": "Zero", "00": "Malformed", "-1": "Malformed", "+5": "Malformed", "1.5": "Malformed", "abc": "Malformed", "18446744073709551616": "OverMax", "": "Malformed", " 1": "Malformed"}
+_TAILS = ["", "", "s", " ", ""]
+_LEADS = ["", "", "", "0", "-", "+"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({_quoted(k)}, CAST(NULL AS BIGINT), {_quoted(v)})" for k, v in _TTLS.items()) + ", ('3600', 3600, NULL), ('1', 1, NULL)) t(input, seconds, error)")
+@query(f"""WITH v AS (SELECT p_partkey, CASE WHEN p_size = 7 THEN '0' WHEN p_size = 8 THEN '' ELSE l[1 + p_size % 6] || repeat(CAST(p_partkey AS VARCHAR), 1 + p_size % 12) || t[1 + p_partkey % 5] END AS input FROM part, (SELECT {_list(_LEADS)} AS l, {_list(_TAILS)} AS t)),
+d AS (SELECT *, regexp_extract(input, '^[0-9]*') AS d FROM v), e AS (SELECT *, CASE WHEN input = '' OR (length(input) > 1 AND input[1] = '0') THEN 'Malformed' WHEN d <> '' AND coalesce(TRY_CAST(d AS HUGEINT) > 18446744073709551615, true) THEN 'OverMax' WHEN d <> input THEN 'Malformed' WHEN input = '0' THEN 'Zero' END AS error FROM d)
+SELECT p_partkey, input, CASE WHEN error IS NULL THEN input END AS seconds, error FROM e""")
 def f5_ttl(spark, sf):
-    r = _values(spark, [*_TTLS, "3600", "1"]).select("input", P.ttl(F.col("input")).alias("r"))
-    return r.select("input", F.col("r.seconds").cast("bigint").alias("seconds"), "r.error")
+    size, key = F.col("p_size"), F.col("p_partkey")
+    made = F.concat(_pick(_LEADS, size), F.expr("repeat(cast(p_partkey as string), cast(1 + p_size % 12 as int))"), _pick(_TAILS, key))
+    v = table(spark, sf, "part").select("p_partkey", F.when(size == 7, "0").when(size == 8, "").otherwise(made).alias("input"))
+    return v.select("p_partkey", "input", P.ttl(F.col("input")).alias("r")).select("p_partkey", "input", F.col("r.seconds").cast("string").alias("seconds"), "r.error")
 
 
+_quoted = lambda x: "NULL" if x is None else f"'{x}'"
 _TIMES = {"2030-01-01T00:00:00Z": "1893456000000000000", "2030-01-01T01:00:00.5+01:00": "1893456000500000000", "1969-12-31T23:59:59.999999999Z": "-1", "2030-13-01T00:00:00Z": None, "2030-01-01": None, "2030-01-01T00:00:00Z[UTC]": None}
 
 
@@ -452,9 +480,9 @@ def f14_successor(spark, sf):
     return table(spark, sf, "events").select("event_id", P.successor(F.col("event_id")).alias("next"))
 
 
-@query("SELECT * FROM (VALUES ('', 2166136261), ('a', 3826002220), ('foobar', 3214735720)) t(input, hash)")
+@query("SELECT p_partkey, CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), list_transform(string_split(p_name, ''), lambda c: CAST(ascii(c) AS HUGEINT))), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS VARCHAR) AS hash FROM part")
 def f15_fnv1a(spark, sf):
-    return _values(spark, ["", "a", "foobar"]).select("input", P.fnv1a_low32(F.col("input")).alias("hash"))
+    return table(spark, sf, "part").select("p_partkey", P.fnv1a_64(F.col("p_name")).cast("string").alias("hash"))
 
 
 @query("SELECT * FROM (VALUES ('Text/HTML; charset=x', 'text/html'), ('a/b', 'a/b')) t(input, essence)")

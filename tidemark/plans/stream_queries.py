@@ -87,12 +87,23 @@ def f17_wrap(spark, sf):
     return rows.select("stream", F.concat(F.lit("["), F.array_join("m.data", ","), F.lit("]")).alias("body"))
 
 
-@query(f"WITH {MESSAGES} SELECT stream, n, CASE WHEN n % 2 = 0 THEN replace('{{\"headers\":{{\"operation\":\"insert\"}}}}', '}}}}', ',\"offset\":\"' || off || '\"}}}}') ELSE data END AS body FROM messages")
+_STATES = """states AS (SELECT event_id, '0000000000000000_' || lpad(CAST(event_id AS VARCHAR), 16, '0') AS off, CASE event_type WHEN 'click' THEN '{"key":"u' || user_id || '","headers":{"operation":"upsert","txid":"' || event_id || '"},"value":{"n":1}}'
+  WHEN 'view' THEN '{"headers":{"control":"reset"}}' WHEN 'signup' THEN '{"id":' || user_id || '}' WHEN 'purchase' THEN '{"headers":{"operation":' || user_id || '}}' ELSE '[' || user_id || ',{"headers":{"operation":"x"}}]' END AS raw FROM events)"""
+
+
+def _states(spark, sf):
+    """Messages with and without state headers, by the kind of event."""
+    user, t = F.col("user_id"), F.col("event_type")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    raw = F.when(t == "click", text('{"key":"u', user, '","headers":{"operation":"upsert","txid":"', F.col("event_id"), '"},"value":{"n":1}}')).when(t == "view", F.lit('{"headers":{"control":"reset"}}'))
+    raw = raw.when(t == "signup", text('{"id":', user, "}")).when(t == "purchase", text('{"headers":{"operation":', user, "}}")).otherwise(text("[", user, ',{"headers":{"operation":"x"}}]'))
+    return table(spark, sf, "events").select("event_id", P.offset_text(F.lit(0), F.col("event_id")).alias("off"), raw.alias("raw"))
+
+
+@query(f"""WITH {_STATES}, h AS (SELECT *, CAST(json_extract(raw, '$.headers') AS VARCHAR) AS h, json_type(raw, '$.headers.operation') = 'VARCHAR' AS o, json_type(raw, '$.headers.control') = 'VARCHAR' AS c FROM states)
+SELECT event_id, CASE WHEN coalesce(o, false) OR coalesce(c, false) THEN replace(raw, '"headers":' || h, '"headers":' || left(h, length(h) - 1) || ',"offset":"' || off || '"}}') ELSE raw END AS body FROM h""")
 def f18_enrich(spark, sf):
-    m = messages(spark, sf)
-    raw = F.when(F.col("n") % 2 == 0, F.lit('{"headers":{"operation":"insert"}}')).otherwise(F.col("data"))
-    has = F.coalesce(F.get_json_object(raw, "$.headers.operation"), F.get_json_object(raw, "$.headers.control")).isNotNull()
-    return m.select("stream", "n", F.when(has, F.concat(F.expr("substring('{\"headers\":{\"operation\":\"insert\"}}', 1, 33)").substr(1, 32), F.lit(',"offset":"'), F.col("off"), F.lit('"}}'))).otherwise(raw).alias("body"))
+    return _states(spark, sf).select("event_id", P.enriched(F.col("raw"), F.col("off")).alias("body"))
 
 
 @query("SELECT event_id, CAST(floor((epoch(ts) - 1728432000) / 20) AS BIGINT) AS cursor FROM events")
@@ -142,23 +153,23 @@ _LINEAGE = f"{_FORKS}, line AS (SELECT child AS stream, parent AS ancestor, upto
 
 @query(f"WITH RECURSIVE {_LINEAGE} SELECT * FROM line")
 def j7_lineage(spark, sf):
-    return S.lineage(_forks(spark), 4)
+    return S.lineage(_forks(spark))
 
 
 @query(f"WITH RECURSIVE {MESSAGES}, {_LINEAGE} SELECT stream, off, data FROM messages UNION ALL SELECT l.stream, m.off, m.data FROM line l JOIN messages m ON m.stream = l.ancestor AND m.off <= l.cap")
 def j7_fork_stitch(spark, sf):
-    return S.stitched(messages(spark, sf), _forks(spark), 4)
+    return S.stitched(messages(spark, sf), _forks(spark))
 
 
 @query(f"WITH RECURSIVE {MESSAGES}, {_LINEAGE} SELECT stream, count(*) AS n FROM (SELECT stream FROM messages UNION ALL SELECT l.stream FROM line l JOIN messages m ON m.stream = l.ancestor AND m.off <= l.cap) GROUP BY stream")
 def u6_bag_union(spark, sf):
-    return S.stitched(messages(spark, sf), _forks(spark), 4).groupBy("stream").agg(F.count("*").alias("n"))
+    return S.stitched(messages(spark, sf), _forks(spark)).groupBy("stream").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH RECURSIVE {_LINEAGE}, refs AS (SELECT parent AS stream, count(*) AS n FROM forks GROUP BY parent) SELECT DISTINCT ancestor AS stream, n, CASE WHEN n > 0 THEN 'soft' ELSE 'hard' END AS deletion FROM line LEFT JOIN refs ON ancestor = refs.stream")
 def x22_soft_delete(spark, sf):
     refs = _forks(spark).groupBy(F.col("parent").alias("stream")).agg(F.count("*").alias("n"))
-    return S.lineage(_forks(spark), 4).select(F.col("ancestor").alias("stream")).distinct().join(refs, "stream", "left").select("stream", "n", F.when(F.col("n") > 0, "soft").otherwise("hard").alias("deletion"))
+    return S.lineage(_forks(spark)).select(F.col("ancestor").alias("stream")).distinct().join(refs, "stream", "left").select("stream", "n", F.when(F.col("n") > 0, "soft").otherwise("hard").alias("deletion"))
 
 
 def _producer_log(spark, sf):
@@ -171,7 +182,7 @@ def _producer_log(spark, sf):
     return l.select(F.lit("s").alias("stream"), F.col("l_suppkey").alias("producer"), n.cast("bigint").alias("arrival"), (year - F.when(n % 13 == 0, 1).otherwise(0)).cast("bigint").alias("epoch"), F.greatest(seq, F.lit(0)).cast("bigint").alias("seq"))
 
 
-_LOG = """n AS (SELECT l_suppkey AS producer, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem WHERE l_suppkey <= 40),
+_LOG = """n AS (SELECT l_suppkey AS producer, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem),
 log AS (SELECT producer, n AS arrival, (n - 1) // 25 - CASE WHEN n % 13 = 0 THEN 1 ELSE 0 END AS epoch, greatest(CASE WHEN ((n-1)%25) % 7 = 6 THEN (n-1)%25 - 2 WHEN ((n-1)%25) % 11 = 10 THEN (n-1)%25 + 3 ELSE (n-1)%25 - ((n-1)%25)//7 - ((n-1)%25)//11 END, 0) AS seq FROM n)"""
 
 
@@ -277,10 +288,13 @@ def x44_lease_expiry(spark, sf):
     return _cursors(spark, sf).groupBy("sub").agg(n.alias("pending"), F.when(n > 0, "wake").otherwise("idle").alias("next"))
 
 
-@query(f"WITH {_LINKS}, {_TAILS} SELECT sub, path, 'glob' AS link_type FROM matched EXCEPT SELECT sub, path, link_type FROM links WHERE link_type = 'explicit'")
+@query(f"WITH {_LINKS}, removed AS (SELECT sub, path FROM explicit WHERE path LIKE '%/k1' OR path LIKE '%/k3') SELECT sub, path, CASE WHEN bool_or(t = 'explicit') THEN 'explicit' ELSE 'glob' END AS link_type FROM (SELECT sub, path, 'glob' AS t FROM matched UNION ALL SELECT sub, path, 'explicit' FROM (SELECT sub, path FROM explicit EXCEPT SELECT sub, path FROM removed)) GROUP BY sub, path")
 def x43_remove_explicit(spark, sf):
+    """Explicit links removed: a glob link of the same stream stays, and removing what is absent changes nothing."""
     paths = commands(spark, sf).select("path").distinct()
-    return S.match_patterns(_patterns(spark), paths).select("sub", "path", F.lit("glob").alias("link_type"))
+    explicit = paths.select((F.length("path") % 7).alias("sub"), "path")
+    removed = paths.where(F.col("path").endswith("/k1") | F.col("path").endswith("/k3")).select((F.length("path") % 7).alias("sub"), "path")
+    return S.links(S.match_patterns(_patterns(spark), paths), explicit.join(removed, ["sub", "path"], "left_anti"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 201 WHEN c_nationkey % 2 = 0 THEN 200 ELSE 409 END AS status FROM customer")
