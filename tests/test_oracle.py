@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidemark.plans import lifecycle_queries, more_queries, relational_queries, stream_queries  # noqa: F401
+from tidemark.plans import lifecycle_queries, more_queries, recovery_queries, relational_queries, stream_queries  # noqa: F401
 from tidemark.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -75,12 +75,6 @@ def x5_flush_trigger(spark, sf):
     return rows.select("batch", F.when(F.col("bytes") >= 6000, "budget").when(F.col("batch") % 4 == 0, "spacing").otherwise("wait").alias("flush"))
 
 
-@query(f"WITH {FACTS} SELECT seq, CASE WHEN outcome IN ('Created','Closed','Deleted') THEN CASE WHEN seq % 1024 >= 1000 THEN 'Overloaded' ELSE 'Accept' END ELSE 'Reply' END AS ruling FROM decided")
-def x4_room(spark, sf):
-    fact = F.col("outcome").isin("Created", "Closed", "Deleted")
-    return L.decide(commands(spark, sf)).select("seq", F.when(~fact, "Reply").when(F.col("seq") % 1024 >= 1000, "Overloaded").otherwise("Accept").alias("ruling"))
-
-
 @query(f"WITH {FACTS}, {folded_sql()} SELECT path, state, uid FROM folded")
 def a1_fold_directory(spark, sf):
     return L.directory(folded(spark, sf))
@@ -306,34 +300,6 @@ def x37_reply_barrier(spark, sf):
     return before.where("outcome like 'Already%'").select("seq", "outcome", batch.alias("reply_batch"))
 
 
-_EVENTS38 = "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Prepared' WHEN 1 THEN 'Abandoned' WHEN 2 THEN 'Contradiction' WHEN 3 THEN 'Authored' WHEN 4 THEN 'NoAuthority' ELSE 'Unresolved' END AS ev FROM events"
-
-
-@query(f"SELECT event_id, CASE ev WHEN 'Prepared' THEN 'Publish' WHEN 'Abandoned' THEN 'Clear' WHEN 'Contradiction' THEN 'Exit' WHEN 'Authored' THEN 'Install' WHEN 'NoAuthority' THEN 'Fenced' ELSE 'Poisoned' END AS action FROM ({_EVENTS38})")
-def x38_checkpoint_outcomes(spark, sf):
-    seen = ["Prepared", "Abandoned", "Contradiction", "Authored", "NoAuthority", "Unresolved"]
-    do = dict(zip(seen, ["Publish", "Clear", "Exit", "Install", "Fenced", "Poisoned"], strict=True))
-    ev = F.element_at(F.array(*[F.lit(x) for x in seen]), (F.col("event_id") % 6 + 1).cast("int"))
-    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.create_map(*[F.lit(x) for kv in do.items() for x in kv])[ev].alias("action"))
-
-
-@query("SELECT event_id, CASE WHEN event_id % 5 = 0 AND user_id > 7 THEN 'Fenced' WHEN event_id % 5 = 0 THEN 'Contradiction' ELSE 'Ok' END AS verdict FROM events")
-def x41_anomaly(spark, sf):
-    odd = F.col("event_id") % 5 == 0
-    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.when(odd & (F.col("user_id") > 7), "Fenced").when(odd, "Contradiction").otherwise("Ok").alias("verdict"))
-
-
-@query("SELECT event_id, CASE WHEN user_id > 10 THEN 'Fenced' WHEN user_id = 10 THEN 'Complete' ELSE 'Contradiction' END AS refreshed FROM events")
-def x14_head_refresh(spark, sf):
-    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.when(F.col("user_id") > 10, "Fenced").when(F.col("user_id") == 10, "Complete").otherwise("Contradiction").alias("refreshed"))
-
-
-@query(f"WITH {FACTS}, b AS (SELECT DISTINCT batch FROM facts) SELECT batch, batch % 7 AS span, batch % 7 >= 4 AND batch <> 6 AS trigger FROM b")
-def x8_trigger(spark, sf):
-    b = facts(spark, sf).select("batch").distinct()
-    return b.select("batch", (F.col("batch") % 7).alias("span"), ((F.col("batch") % 7 >= 4) & (F.col("batch") != 6)).alias("trigger"))
-
-
 @query(f"WITH {MANIFEST} SELECT gen, tree, CASE WHEN count(DISTINCT run_ord) + 1 <= 16 AND count(*) <= 1024 AND sum(bytes) <= 34359738368 THEN 'Delta' ELSE 'Full' END AS plan FROM manifest GROUP BY gen, tree")
 def x9_plan(spark, sf):
     t = manifest(spark, sf).groupBy("gen", "tree").agg(F.countDistinct("run_ord").alias("runs"), F.count("*").alias("n"), F.sum("bytes").alias("total"))
@@ -353,11 +319,6 @@ def _wal(spark, sf):
     return facts(spark, sf).select("batch").distinct().select("batch", F.when(F.col("batch") % 16 == 0, "FENCE").otherwise("RUN").alias("body"), (F.floor(F.col("batch") / 16) + 1).alias("owner"))
 
 
-@query(f"WITH {_WAL} SELECT batch, CASE WHEN batch <= 2 OR batch > 9 THEN 'outside' WHEN body = 'FENCE' THEN 'keep' ELSE 'delete' END AS ruling FROM wal")
-def x11_collect(spark, sf):
-    return _wal(spark, sf).select("batch", F.when((F.col("batch") <= 2) | (F.col("batch") > 9), "outside").when(F.col("body") == "FENCE", "keep").otherwise("delete").alias("ruling"))
-
-
 @query(f"WITH {_WAL} SELECT greatest(3, max(batch)) + 1 AS fence_at, max(owner) + 1 AS owner FROM wal")
 def x12_fence_position(spark, sf):
     return _wal(spark, sf).agg((F.greatest(F.lit(3), F.max("batch")) + 1).alias("fence_at"), (F.max("owner") + 1).alias("owner"))
@@ -382,30 +343,6 @@ def s5_tail(spark, sf):
     return _wal(spark, sf).agg(F.max("batch").alias("tail"))
 
 
-_EVIDENCE = "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Direct' WHEN 1 THEN 'DurableMatch' WHEN 2 THEN 'NotOurs' ELSE 'Unresolved' END AS ev FROM events"
-
-
-def _evidence(spark, sf):
-    kinds = F.array(*[F.lit(x) for x in ("Direct", "DurableMatch", "NotOurs", "Unresolved")])
-    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.element_at(kinds, (F.col("event_id") % 4 + 1).cast("int")).alias("ev"))
-
-
-@query(f"SELECT event_id, CASE WHEN ev IN ('Direct','DurableMatch') THEN 'Durable' WHEN ev = 'NotOurs' THEN 'Occupied' ELSE 'Reconcile' END AS outcome FROM ({_EVIDENCE})")
-def x15_wal_outcome(spark, sf):
-    return _evidence(spark, sf).select("event_id", F.when(F.col("ev").isin("Direct", "DurableMatch"), "Durable").when(F.col("ev") == "NotOurs", "Occupied").otherwise("Reconcile").alias("outcome"))
-
-
-@query(f"SELECT event_id, CASE WHEN ev = 'Direct' OR (ev = 'DurableMatch' AND event_id % 3 = 0) THEN 'Authored' WHEN ev = 'Unresolved' THEN 'Unresolved' ELSE 'NoAuthority' END AS outcome FROM ({_EVIDENCE})")
-def x16_seal_outcome(spark, sf):
-    genesis = F.col("event_id") % 3 == 0
-    return _evidence(spark, sf).select("event_id", F.when((F.col("ev") == "Direct") | ((F.col("ev") == "DurableMatch") & genesis), "Authored").when(F.col("ev") == "Unresolved", "Unresolved").otherwise("NoAuthority").alias("outcome"))
-
-
-@query(f"SELECT event_id, CASE ev WHEN 'Direct' THEN 'install' WHEN 'DurableMatch' THEN 'install' WHEN 'NotOurs' THEN 'contradiction' ELSE 'reread' END AS step FROM ({_EVIDENCE})")
-def s26_table_establish(spark, sf):
-    return _evidence(spark, sf).select("event_id", F.when(F.col("ev").isin("Direct", "DurableMatch"), "install").when(F.col("ev") == "NotOurs", "contradiction").otherwise("reread").alias("step"))
-
-
 _STATUS = {"Created": 201, "AlreadyExists": 200, "Occupied": 409, "CapacityExhausted": 429, "Closed": 204, "AlreadyClosed": 204, "Deleted": 204}
 
 

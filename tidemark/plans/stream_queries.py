@@ -282,12 +282,6 @@ def x24_ack_range(spark, sf):
     return c.groupBy("sub").agg(F.when(F.min(good), "applied").otherwise("rejected").alias("verdict"), F.count("*").alias("n"))
 
 
-@query(f"WITH {_LINKS}, {_TAILS} SELECT sub, count(*) FILTER (has_pending) AS pending, CASE WHEN count(*) FILTER (has_pending) > 0 THEN 'wake' ELSE 'idle' END AS next FROM cur GROUP BY sub")
-def x44_lease_expiry(spark, sf):
-    n = F.count(F.when(F.col("has_pending"), 1))
-    return _cursors(spark, sf).groupBy("sub").agg(n.alias("pending"), F.when(n > 0, "wake").otherwise("idle").alias("next"))
-
-
 @query(f"WITH {_LINKS}, removed AS (SELECT sub, path FROM explicit WHERE path LIKE '%/k1' OR path LIKE '%/k3') SELECT sub, path, CASE WHEN bool_or(t = 'explicit') THEN 'explicit' ELSE 'glob' END AS link_type FROM (SELECT sub, path, 'glob' AS t FROM matched UNION ALL SELECT sub, path, 'explicit' FROM (SELECT sub, path FROM explicit EXCEPT SELECT sub, path FROM removed)) GROUP BY sub, path")
 def x43_remove_explicit(spark, sf):
     """Explicit links removed: a glob link of the same stream stays, and removing what is absent changes nothing."""
@@ -297,14 +291,6 @@ def x43_remove_explicit(spark, sf):
     return S.links(S.match_patterns(_patterns(spark), paths), explicit.join(removed, ["sub", "path"], "left_anti"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 201 WHEN c_nationkey % 2 = 0 THEN 200 ELSE 409 END AS status FROM customer")
-def x42_confirm_subscription(spark, sf):
-    c = table(spark, sf, "customer")
-    known = F.when(F.col("c_custkey") % 3 != 0, F.sha2((F.col("c_nationkey") % 2).cast("string"), 256))
-    asked = F.sha2(F.lit("0"), 256)
-    return c.select("c_custkey", F.when(known.isNull(), 201).when(known == asked, 200).otherwise(409).alias("status"))
-
-
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN coalesce(epoch(ts) >= 1705276800, true) WHEN event_id % 3 = 1 THEN 1705276800 >= epoch(ts) + user_id * 3600 ELSE false END AS expired FROM events")
 def p9_expired(spark, sf):
     e, now, at = table(spark, sf, "events"), F.lit(1705276800), F.unix_seconds(F.col("ts").cast("timestamp"))
@@ -379,10 +365,3 @@ def x29_batch_commit(spark, sf):
 @query(f"WITH {CHANGES} SELECT off FROM changes WHERE off <= 700 AND off % 50 = 0")
 def x28_txid_barrier(spark, sf):
     return changes(spark, sf).where("off <= 700 and off % 50 = 0").select("off")
-
-
-@query("SELECT page_id, regexp_matches(url, '^https://') AND NOT regexp_matches(url, '^https://(10[.]|127[.]|192[.]168[.])') AS safe FROM pages")
-def f30_webhook_url(spark, sf):
-    host = F.try_parse_url(F.col("url"), F.lit("HOST"))
-    inside = host.rlike(r"^(10\.|127\.|192\.168\.)")
-    return table(spark, sf, "pages").select("page_id", (F.startswith("url", F.lit("https://")) & ~F.coalesce(inside, F.lit(False))).alias("safe"))
