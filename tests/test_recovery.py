@@ -5,7 +5,9 @@ import random
 import pytest
 
 from pyspark.sql import functions as F
+from tidemark.operators import keyvalue as K
 from tidemark.operators import recovery as R
+from tidemark.operators import streams
 from tidemark.operators import subscriptions as S
 
 
@@ -90,3 +92,53 @@ def test_webhook_addresses(spark):
     }
     rows = spark.createDataFrame([(u,) for u in [*safe, None]], "u string").select("u", S.webhook_safe(F.col("u")).alias("safe")).collect()
     assert {r.u: r.safe for r in rows} == {**safe, None: False}
+
+
+def test_deleted_streams_are_kept_for_living_forks_only(spark):
+    rnd = random.Random(3)
+    rows = [(i, None if i == 0 else rnd.randrange(max(0, i - 4), i), rnd.random() < 0.7) for i in range(60)]
+    children = {}
+    for i, parent, _ in rows:
+        children.setdefault(parent, []).append(i)
+    dead = {i: d for i, _, d in rows}
+
+    def lives(i):
+        return not dead[i] or any(map(lives, children.get(i, [])))
+
+    expect = {i: ("live", 200) if not dead[i] else ("soft", 410) if lives(i) else ("gone", 404) for i in dead}
+    df = spark.createDataFrame(rows, "stream bigint, parent bigint, deleted boolean")
+    assert {r.stream: (r.state, r.status) for r in streams.retained(df).collect()} == expect
+
+
+def test_barrier_waits_for_the_batch_that_commits_the_transaction(spark):
+    changes = spark.createDataFrame([(1, 7), (3, 8), (4, 7), (12, 9)], "off bigint, txid bigint")
+    got = streams.txid_barrier(spark.createDataFrame([(7,), (9,), (1,)], "txid bigint"), changes, 10).collect()
+    assert {r.txid: (r.seen, r.resolved) for r in got} == {7: (1, 4), 9: (12, 12), 1: (None, None)}
+
+
+def test_limits_against_balances_kept_step_by_step(spark):
+    rnd = random.Random(8)
+    rows = [(i, rnd.randrange(4), rnd.randrange(4), rnd.randrange(1, 9), i, rnd.random() < 0.3) for i in range(200)]
+    balance, expect = {}, {}
+    for i, debit, credit, amount, _, pending in rows:
+        if debit == credit:
+            expect[i] = "accounts_must_be_different"
+            continue
+        d, c = balance.setdefault(debit, [0] * 4), balance.setdefault(credit, [0] * 4)  # debits, credits: all, posted
+        over = debit % 2 == 0 and d[0] + amount > d[3], credit % 2 == 1 and c[1] + amount > c[2]
+        expect[i] = "exceeds_credits" if over[0] else "exceeds_debits" if over[1] else "ok"
+        d[0] += amount
+        c[1] += amount
+        if not pending:
+            d[2] += amount
+            c[3] += amount
+    df = spark.createDataFrame(rows, "id bigint, debit bigint, credit bigint, amount bigint, ts bigint, pending boolean")
+    assert {r.id: r.verdict for r in K.limits(df, lambda a: a % 2 == 0, lambda a: a % 2 == 1).collect()} == expect
+
+
+def test_flush_reasons_in_their_order(spark):
+    rows = [(0, True, True, 9, None), (1, True, True, 9, 0), (1, False, True, 9, 0), (1, False, False, 9, 0), (1, False, False, 0, None), (1, False, False, 0, 5), (1, False, False, 0, 4)]
+    df = spark.createDataFrame(rows, "facts bigint, closing boolean, full boolean, size bigint, waited bigint").select("*", F.monotonically_increasing_id().alias("i"))
+    got = df.select("i", R.flush_reason(F.col("facts"), F.col("closing"), F.col("full"), F.col("size"), 9, F.col("waited"), 5).alias("r")).orderBy("i").collect()
+    assert [r.r for r in got] == ["idempotent", "closing", "full", "budget", "spacing", "spacing", "arm"]
+    assert [spark.range(1).select(R.hard_full(F.lit(n), F.lit(b))).first()[0] for n, b in ((4095, 4_193_408), (4096, 0), (1, 4_193_409))] == [False, True, True]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,3 +78,25 @@ def equals_or_any(column: str, value: int) -> Column:
 def between_or_any(column: str, low: int, high: int) -> Column:
     """Both ends count; a zero end is open."""
     return (F.lit(low == 0) | (F.col(column) >= low)) & (F.lit(high == 0) | (F.col(column) <= high))
+
+
+def limits(transfers: DataFrame, debit_flag: Callable[[Column], Column], credit_flag: Callable[[Column], Column]) -> DataFrame:
+    """transfers(id, debit, credit, amount, ts, pending): id and verdict against the limits of both accounts.
+
+    An account flagged by debit_flag must not owe more than its posted credits, one
+    flagged by credit_flag the reverse; pending amounts count against a limit, not
+    for it.  Balances are those of all transfers with an earlier ts (unique), whatever
+    their own verdicts.  A transfer onto its own account is refused first and moves
+    nothing.
+    """
+    apart = transfers.where("debit != credit")
+    zero = F.lit(0).cast("bigint")
+    sides = apart.select("id", "ts", "amount", "pending", F.explode(F.array(F.struct(F.col("debit").alias("account"), F.lit(True).alias("owes")), F.struct(F.col("credit").alias("account"), F.lit(False).alias("owes")))).alias("side")).select("id", "ts", "amount", "pending", "side.*")
+    own = F.when(F.col("owes"), F.col("amount")).otherwise(zero)
+    other = F.when(F.col("owes"), zero).otherwise(F.col("amount"))
+    posted = lambda c: F.when(F.col("pending"), zero).otherwise(c)
+    at = scan(sides, "ts", [], {"debits": own, "credits": other, "debits_posted": posted(own), "credits_posted": posted(other)}, group=["account"], like=apart.select("ts"), before=True)
+    over = F.when(F.col("owes"), debit_flag(F.col("account")) & (F.col("debits") + F.col("amount") > F.col("credits_posted"))).otherwise(credit_flag(F.col("account")) & (F.col("credits") + F.col("amount") > F.col("debits_posted")))
+    judged = at.groupBy("id").agg(F.max(F.col("owes") & over).alias("debit_over"), F.max(~F.col("owes") & over).alias("credit_over"))
+    verdict = F.when(F.col("debit_over"), "exceeds_credits").when(F.col("credit_over"), "exceeds_debits").otherwise("ok")
+    return judged.select("id", verdict.alias("verdict")).unionByName(transfers.where("debit = credit").select("id", F.lit("accounts_must_be_different").alias("verdict")))

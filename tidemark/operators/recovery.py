@@ -101,3 +101,20 @@ def takeover_room(cut: Column, run: Column, most: int = SUFFIX_MOST) -> Column:
 def checkpoint_due(cut: Column, head: Column, attempted: Column, due: int = SUFFIX_DUE) -> Column:
     """Whether the suffix is long enough and no checkpoint of this head was attempted before."""
     return (head - cut >= due) & (attempted.isNull() | (attempted < head))
+
+
+def hard_full(facts: Column, size: Column, most_facts: int = 4096, most_bytes: int = 4_194_304, headroom: int = 896) -> Column:
+    """Whether pending facts fill an object, or one more fact might not fit."""
+    return (facts >= most_facts) | (size + headroom > most_bytes)
+
+
+def flush_reason(facts: Column, closing: Column, full: Column, size: Column, budget: int, waited: Column, spacing: int) -> Column:
+    """Why pending work is taken now, or 'arm' where it waits for the spacing; waited is null before the first flush."""
+    return (
+        F.when(facts == 0, "idempotent")
+        .when(closing, "closing")
+        .when(full, "full")
+        .when(size >= budget, "budget")
+        .when(waited.isNull() | (waited >= spacing), "spacing")
+        .otherwise("arm")
+    )

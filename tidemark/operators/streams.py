@@ -49,6 +49,33 @@ def lineage(forks: DataFrame) -> DataFrame:
         found = found.unionByName(step)
 
 
+def retained(streams: DataFrame) -> DataFrame:
+    """streams(stream, parent, deleted): stream, state and status of a read.
+
+    'live'; 'soft' (deleted, its data kept for a fork that lives or is itself kept);
+    'gone' (deleted, and so is all that forked from it, at any depth).  A step goes
+    from kept streams to their deleted parents, each met once, until none is new, so
+    the steps are as many as deleted streams follow one another in a lineage.
+    """
+    deleted = streams.where("deleted").select("stream", "parent")
+    step = streams.where(~F.col("deleted")).select("parent").distinct().join(deleted.withColumnRenamed("parent", "next"), F.col("parent") == F.col("stream")).select("stream", "next")
+    kept = step
+    while not step.isEmpty():
+        step = step.select(F.col("next").alias("parent")).distinct().join(deleted.withColumnRenamed("parent", "next"), F.col("parent") == F.col("stream")).select("stream", "next").join(kept.select("stream"), "stream", "left_anti")
+        kept = kept.unionByName(step)
+    out = streams.join(kept.select("stream", F.lit(True).alias("kept")), "stream", "left")
+    state = F.when(~F.col("deleted"), "live").when(F.col("kept"), "soft").otherwise("gone")
+    return out.select("stream", state.alias("state"), F.when(state == "live", 200).when(state == "soft", 410).otherwise(404).alias("status"))
+
+
+def txid_barrier(waits: DataFrame, changes: DataFrame, per_batch: int) -> DataFrame:
+    """waits(txid): txid, seen (first offset that carries it) and resolved (last offset of the batch that commits it); null: a timeout."""
+    batch = F.floor(F.col("off") / per_batch)
+    first = changes.groupBy("txid").agg(F.min("off").alias("seen")).withColumn("batch", F.floor(F.col("seen") / per_batch))
+    commits = changes.groupBy(batch.alias("batch")).agg(F.max("off").alias("resolved"))
+    return waits.join(first.join(commits, "batch"), "txid", "left").select("txid", "seen", "resolved")
+
+
 def stitched(messages: DataFrame, forks: DataFrame) -> DataFrame:
     """Each stream's own messages after those that it inherits."""
     inherited = lineage(forks).join(messages.withColumnRenamed("stream", "ancestor"), "ancestor").where(F.col("off") <= F.col("cap"))

@@ -69,12 +69,6 @@ def x6_hard_full(spark, sf):
     return rows.select("batch", full.alias("hard_full"), (~full).alias("admission_open"))
 
 
-@query(f"WITH {FACTS}, b AS (SELECT batch, 128 + {_BYTES} AS bytes FROM facts GROUP BY batch) SELECT batch, CASE WHEN bytes >= 6000 THEN 'budget' WHEN batch % 4 = 0 THEN 'spacing' ELSE 'wait' END AS flush FROM b")
-def x5_flush_trigger(spark, sf):
-    rows = facts(spark, sf).groupBy("batch").agg((128 + _wal_bytes(None)).alias("bytes"))
-    return rows.select("batch", F.when(F.col("bytes") >= 6000, "budget").when(F.col("batch") % 4 == 0, "spacing").otherwise("wait").alias("flush"))
-
-
 @query(f"WITH {FACTS}, {folded_sql()} SELECT path, state, uid FROM folded")
 def a1_fold_directory(spark, sf):
     return L.directory(folded(spark, sf))

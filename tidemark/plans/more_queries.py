@@ -114,11 +114,6 @@ def p18_might_match(spark, sf):
     return kv(spark, sf).where(F.col("key").isin("user/0003/1", "user/0004/2", "user/none")).groupBy("key").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, event_id % 11 <> 0 AND NOT (event_id % 100 >= 96) AS open FROM events")
-def p19_admission_open(spark, sf):
-    return table(spark, sf, "events").select("event_id", ((F.col("event_id") % 11 != 0) & ~(F.col("event_id") % 100 >= 96)).alias("open"))
-
-
 @query(f"WITH {FACTS} SELECT seq, batch AS visible_from FROM facts")
 def x7_publish_before_reply(spark, sf):
     return facts(spark, sf).select("seq", F.col("batch").alias("visible_from"))

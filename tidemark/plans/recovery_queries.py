@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import lifecycle as L
 from tidemark.operators import recovery as R
+from tidemark.operators import streams
 from tidemark.operators import subscriptions as S
+from tidemark.operators.keyvalue import limits
 from tidemark.operators.ordering import scan
-from tidemark.plans.inputs import FACTS, commands, facts
+from tidemark.plans.inputs import CHANGES, FACTS, TRANSFERS, changes, commands, facts, transfers
 from tidemark.plans.registry import query
 from tidemark.session import table
 
@@ -159,3 +161,57 @@ def f30_webhook_url(spark, sf):
     host = F.when(m == 0, "localhost").when(m == 1, "[fd00::1]").when(m == 2, F.split_part("url", F.lit("/"), F.lit(3))).otherwise(numeric)
     url = F.concat(F.when(i % 3 == 0, "http").otherwise("https"), F.lit("://"), host, F.lit(":8443/hook?x=1"))
     return table(spark, sf, "pages").select("page_id", S.webhook_safe(url).alias("safe"))
+
+
+_FULL, _BUDGET, _SPACING = 11_000, 9_930, 9 * 3_600_000_000
+_PENDING = f"""{FACTS}, b AS (SELECT batch, count(*) AS n, CAST(128 + sum(128 + strlen(path) + CASE WHEN kind = 'StreamCreated' THEN strlen(content_type) ELSE 0 END) AS BIGINT) AS bytes, epoch_us(max(ts)) AS last_at FROM facts JOIN events ON event_id = seq - 1 GROUP BY batch),
+pending AS (SELECT *, last_at - lag(last_at) OVER (ORDER BY batch) AS waited, batch = max(batch) OVER () AS closing, n >= 4096 OR bytes + 896 > {_FULL} AS hard FROM b)"""
+
+
+def _pending(spark, sf):
+    """Each batch as it was when its last fact came; the log ends in a shutdown."""
+    at = table(spark, sf, "events").select((F.col("event_id") + 1).alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    size = 128 + F.octet_length("path") + F.when(F.col("kind") == "StreamCreated", F.octet_length("content_type")).otherwise(0)
+    b = facts(spark, sf).join(at, "seq").groupBy("batch").agg(F.count("*").alias("n"), (128 + F.sum(size)).cast("bigint").alias("bytes"), F.max("at").alias("last_at"))
+    spread = commands(spark, sf).select(F.floor(F.col("seq") / L.RUN_FACTS).alias("batch"))
+    timed = scan(b, "batch", [], maxima={"taken": F.col("last_at")}, like=spread, before=True)
+    end = b.agg(F.max("batch").alias("end"))
+    return timed.crossJoin(F.broadcast(end)).withColumns({"waited": F.col("last_at") - F.col("taken"), "closing": F.col("batch") == F.col("end"), "full": R.hard_full(F.col("n"), F.col("bytes"), most_bytes=_FULL)})
+
+
+@query(f"WITH {_PENDING} SELECT batch, CASE WHEN closing THEN 'closing' WHEN hard THEN 'full' WHEN bytes >= {_BUDGET} THEN 'budget' WHEN waited < {_SPACING} THEN 'arm' ELSE 'spacing' END AS action FROM pending")
+def x5_flush_trigger(spark, sf):
+    action = R.flush_reason(F.col("n"), F.col("closing"), F.col("full"), F.col("bytes"), _BUDGET, F.col("waited"), _SPACING)
+    return _pending(spark, sf).select("batch", action.alias("action"))
+
+
+@query(f"WITH {_PENDING} SELECT batch, NOT closing AND NOT hard AS status FROM pending")
+def p19_admission_open(spark, sf):
+    return _pending(spark, sf).select("batch", (~F.col("closing") & ~F.col("full")).alias("status"))
+
+
+@query("""WITH RECURSIVE streams AS (SELECT c_custkey AS stream, CASE WHEN c_custkey > 0 THEN c_custkey // 3 END AS parent, c_nationkey < 18 AS deleted FROM customer),
+up AS (SELECT parent AS stream FROM streams WHERE NOT deleted UNION SELECT s.parent FROM up JOIN streams s USING (stream))
+SELECT stream, CASE WHEN NOT deleted THEN 'live' WHEN stream IN (SELECT stream FROM up WHERE stream IS NOT NULL) THEN 'soft' ELSE 'gone' END AS state, CASE WHEN NOT deleted THEN 200 WHEN stream IN (SELECT stream FROM up WHERE stream IS NOT NULL) THEN 410 ELSE 404 END AS status FROM streams""")
+def x22_soft_delete(spark, sf):
+    """Each stream but the first was forked from the one a third as far along."""
+    k = F.col("c_custkey")
+    return streams.retained(table(spark, sf, "customer").select(k.alias("stream"), F.when(k > 0, F.floor(k / 3)).alias("parent"), (F.col("c_nationkey") < 18).alias("deleted")))
+
+
+@query(f"WITH {CHANGES}, f AS (SELECT value AS txid, min(off) AS seen FROM changes GROUP BY value) SELECT c_custkey AS txid, seen, (SELECT max(off) FROM changes WHERE off // 100 = seen // 100) AS resolved FROM customer LEFT JOIN f ON txid = c_custkey")
+def x28_txid_barrier(spark, sf):
+    waits = table(spark, sf, "customer").select(F.col("c_custkey").alias("txid"))
+    return streams.txid_barrier(waits, changes(spark, sf).withColumnRenamed("value", "txid"), 100)
+
+
+@query(f"""WITH {TRANSFERS}, once AS (SELECT DISTINCT ON (id) * FROM transfers ORDER BY id, debit, credit, amount, code), apart AS (SELECT * FROM once WHERE debit <> credit),
+sides AS (SELECT id, ts, debit AS account, amount AS d, 0 AS c, code = 1 AS pending FROM apart UNION ALL SELECT id, ts, credit, 0, amount, code = 1 FROM apart),
+posn AS (SELECT *, coalesce(sum(d) OVER w, 0) AS debits, coalesce(sum(c) OVER w, 0) AS credits, coalesce(sum(CASE WHEN pending THEN 0 ELSE d END) OVER w, 0) AS dp, coalesce(sum(CASE WHEN pending THEN 0 ELSE c END) OVER w, 0) AS cp FROM sides WINDOW w AS (PARTITION BY account ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT id, CASE WHEN d > 0 AND account % 2 = 0 AND debits + d > cp THEN 2 WHEN c > 0 AND account % 3 = 0 AND credits + c > dp THEN 1 ELSE 0 END AS over_ FROM posn)
+SELECT id, CASE max(over_) WHEN 2 THEN 'exceeds_credits' WHEN 1 THEN 'exceeds_debits' ELSE 'ok' END AS verdict FROM v GROUP BY id UNION ALL SELECT id, 'accounts_must_be_different' FROM once WHERE debit = credit""")
+def f26_limit_check(spark, sf):
+    """Accounts of even numbers limit their debits, every third one its credits; a third of the transfers is pending.  An id exists once: the smallest of its rows."""
+    once = transfers(spark, sf).groupBy("id").agg(F.min(F.struct("debit", "credit", "amount", "code")).alias("t")).select("id", F.col("id").alias("ts"), "t.*")
+    t = once.withColumn("pending", F.col("code") == 1)
+    return limits(t, lambda a: a % 2 == 0, lambda a: a % 3 == 0)

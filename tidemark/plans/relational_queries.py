@@ -154,11 +154,6 @@ def p21_lookup(spark, sf):
     return transfers(spark, sf).join(ids, "id", "left_semi").select("id", "amount")
 
 
-@query(f"WITH {TRANSFERS} SELECT id, debit + amount > credit + 10 AS exceeds FROM transfers")
-def f26_limit_check(spark, sf):
-    return transfers(spark, sf).select("id", (F.col("debit") + F.col("amount") > F.col("credit") + 10).alias("exceeds"))
-
-
 @query(f"WITH {TRANSFERS} SELECT id FROM transfers WHERE code = 1 UNION SELECT id FROM transfers WHERE amount > 40")
 def u3_union(spark, sf):
     t = transfers(spark, sf)

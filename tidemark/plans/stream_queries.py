@@ -166,12 +166,6 @@ def u6_bag_union(spark, sf):
     return S.stitched(messages(spark, sf), _forks(spark)).groupBy("stream").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH RECURSIVE {_LINEAGE}, refs AS (SELECT parent AS stream, count(*) AS n FROM forks GROUP BY parent) SELECT DISTINCT ancestor AS stream, n, CASE WHEN n > 0 THEN 'soft' ELSE 'hard' END AS deletion FROM line LEFT JOIN refs ON ancestor = refs.stream")
-def x22_soft_delete(spark, sf):
-    refs = _forks(spark).groupBy(F.col("parent").alias("stream")).agg(F.count("*").alias("n"))
-    return S.lineage(_forks(spark)).select(F.col("ancestor").alias("stream")).distinct().join(refs, "stream", "left").select("stream", "n", F.when(F.col("n") > 0, "soft").otherwise("hard").alias("deletion"))
-
-
 def _producer_log(spark, sf):
     l = table(spark, sf, "lineitem")
     order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
@@ -360,8 +354,3 @@ def a21_normalize(spark, sf):
 @query(f"WITH {CHANGES} SELECT off // 100 AS batch, count(*) AS n, max(off) AS txid FROM changes GROUP BY off // 100")
 def x29_batch_commit(spark, sf):
     return changes(spark, sf).groupBy(F.floor(F.col("off") / 100).alias("batch")).agg(F.count("*").alias("n"), F.max("off").alias("txid"))
-
-
-@query(f"WITH {CHANGES} SELECT off FROM changes WHERE off <= 700 AND off % 50 = 0")
-def x28_txid_barrier(spark, sf):
-    return changes(spark, sf).where("off <= 700 and off % 50 = 0").select("off")
