@@ -191,6 +191,29 @@ def test_conflicts_of_the_whole_log(spark, tmp_path):
         assert {x["txn"] for x in keyvalue.conflicts(df, df, span).collect()} == want
 
 
+def test_sliding_ttl_of_fractions_and_odd_rows(spark, tmp_path):
+    """x20_sliding_ttl: gaps a microsecond round the limit, rows without a time, an id or a user, repeated rows."""
+    import datetime
+
+    import duckdb
+
+    from tidemark.plans.registry import ORACLE_SQL, QUERIES
+
+    at = lambda s, us=0: None if s is None else datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s, microseconds=us)
+    rows = [  # user, event, time, life
+        (1, 0, at(0, 250_000), 1), (1, 1, at(86400, 750_000), 2), (1, 2, at(2 * 86400, 750_000), 2), (1, 3, at(3 * 86400, 750_001), 3), (1, 4, at(4 * 86400 + 1, 0), 4), (1, 5, at(5 * 86400, 999_999), 4),
+        (2, 0, None, 1), (2, 1, at(5), 2), (2, 2, None, 2), (2, 3, at(7), 3), (2, 4, None, 4), (2, 4, None, 4), (2, 5, at(9), 5),
+        (3, 0, at(0), 1), (3, 1, at(10), 1), (3, None, at(90_000), 2),
+        (None, 0, at(0), 1), (None, 1, at(86400, 1), 2),
+    ]
+    spark.createDataFrame([r[:3] for r in rows], "user_id long, event_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(((u, e, n) for u, e, _, n in rows), key=repr)
+    assert sorted(c.sql(ORACLE_SQL["x20_sliding_ttl"]).fetchall(), key=repr) == want
+    assert sorted(map(tuple, QUERIES["x20_sliding_ttl"](spark, str(tmp_path)).collect()), key=repr) == want
+
+
 def test_live_counts(spark, tmp_path):
     df = spark.createDataFrame([(i % 3, i) for i in range(20)], "k int, v int")
     df.write.parquet(f"{tmp_path}/in")

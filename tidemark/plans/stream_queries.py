@@ -302,10 +302,12 @@ def x18_append(spark, sf):
 
 @query("SELECT user_id, event_id, CAST(sum(CASE WHEN before IS NULL OR epoch(ts) - epoch(before) > 86400 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS life FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)")
 def x20_sliding_ttl(spark, sf):
-    order = Window.partitionBy("user_id").orderBy("event_id")
-    s = F.unix_seconds(F.col("ts").cast("timestamp"))
-    e = table(spark, sf, "events").withColumn("gap", s - F.lag(s).over(order))
-    return e.select("user_id", "event_id", F.sum(F.when(F.col("gap").isNull() | (F.col("gap") > 86400), 1).otherwise(0)).over(order.rowsBetween(*S.UNBOUNDED)).alias("life"))
+    """A gap counts to the microsecond; only a user's first row, one after a row without a time, or one after a gap starts a life, and equal event_ids share the sum."""
+    order = Window.partitionBy("user_id").orderBy(F.asc_nulls_last("event_id"))
+    s = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6  # epoch's double
+    before = F.lag(s).over(order)
+    e = table(spark, sf, "events").select("user_id", "event_id", F.when(before.isNull() | (s - before > 86400), 1).otherwise(0).alias("starts"))
+    return e.select("user_id", "event_id", F.sum("starts").over(order).alias("life"))
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE epoch(ts) - epoch(before) > 604800")
